@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: White space of every word rule here, as a class body for Java's regular expressions.
 BLANKS = r"\x20\x09-\x0D"
-#: A key is heavy if it holds more than one in so many rows; so there are fewer heavy keys than this.
-HEAVY_PARTS = 1024
 
 
 @functools.cache
@@ -43,21 +41,10 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join left to right, unique on key, whatever share of left one key has.
-
-    Keys with over 1/1024 of left's rows (so at most 1023 of them) are looked up in a broadcast
-    of their own rows of right; all others are small against a partition and are shuffled.
-    left should be a settled table: it is read three times.
-    """
-    total = left.count()
-    heavy = left.groupBy(key).count().filter(F.col("count") * HEAVY_PARTS > total).filter(F.col(key).isNotNull()).select(key)
-    heavy = settle(heavy)
-    rare = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
-    if not heavy.head(1):
-        return rare
-    some = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))
-    return rare.unionByName(left.join(F.broadcast(heavy), key, "left_semi").join(some, key, how))
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join left to right, unique on key. Both are settled tables (or narrow reads of such), so each gets a shuffle of
+    its own and adaptive execution can split the rows of a hot key among tasks; an aggregate below would forbid that."""
+    return left.join(right.hint("merge"), key, how)
 
 
 def spans_of(text: Column, pattern: str, accept, gate: Column | None = None, context: int = 0) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import BLANKS, settle, skew_safe_lookup, work_dir
+from lodestar.llm._shared import BLANKS, lookup, settle, work_dir
 
 
 def digest(text: Column) -> Column:
@@ -47,8 +47,8 @@ def match(docs: DataFrame, index: DigestIndex) -> DataFrame:
     staged = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("text")).alias("digest")))
     groups = settle(staged.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     index.add(groups)
-    owners = groups.select("digest", "group_size").join(index.table().hint("merge"), "digest")
-    return skew_safe_lookup(staged, owners, "digest").withColumn("kept", F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    owners = settle(groups.select("digest", "group_size").join(index.table().hint("merge"), "digest"))
+    return lookup(staged, owners, "digest").withColumn("kept", F.col("keep_id").eqNullSafe(F.col("doc_id")))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
