@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now: it acts on what the driver's JVM has collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(*frames: DataFrame) -> None:
     """Delete settled steps that nothing reads any more."""
     for df in frames:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import lookup, release, settle
+from lodestar.llm._shared import lookup, release, settle, sweep
 from lodestar.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -18,6 +18,8 @@ SHINGLE, PERCENT = 5, 75
 SKETCH = 1 << 16
 #: In a shingle's list all pairs of the first PAIRED groups and those of the first HUBS groups with all others come first.
 PAIRED, HUBS = 24, 4
+#: Bits of the filter for the texts to read again, at most: 16 MB.
+FILTER_BITS = 1 << 27
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -162,24 +164,43 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
     return postings.select("token", "grp", "n", "rest").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node and its whole set, for the rows of docs named by ids (doc_id, node)."""
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and some others: a bitmap of hashes, of FILTER_BITS bits at most, is
+    broadcast, so that the texts are not shuffled."""
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = ids.select(at("doc_id").alias("h")).groupBy(F.expr("h div 32768").alias("__part")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("__bits"))
+    own = docs.withColumn("__at", at("doc_id")).withColumn("__part", F.expr("__at div 32768")).join(F.broadcast(marks), "__part")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast((__at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return own.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*docs.columns)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids that are links, by the exact size of the intersection of their whole sets.
+
+    The texts travel, which shuffles compress, not the several times larger sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "items"])
-
-    return _texts(docs).join(ids, "doc_id").select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
+            links = []
+            for one, other, text, text2 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if one != last:  # rows come sorted by a
+                    last, x = one, shingles(text.as_py())
+                y = shingles(text2.as_py())
+                if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                        links.append((one, other))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    def texts(name: str) -> DataFrame:
+        some = _likely(_texts(docs), pairs.select(F.col(name).alias("doc_id")).distinct())
+        return some.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}")).hint("merge")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, by the exact size of the intersection of their whole sets."""
-    b = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
-    both = b.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).filter(F.col("c") * 100 >= PERCENT * (F.col("s") - F.col("c"))).select("a", "b")
+    both = pairs.join(texts("b"), "b").join(texts("a"), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _apart(made: DataFrame, members: DataFrame) -> DataFrame:
@@ -224,33 +245,27 @@ def join(docs: DataFrame) -> DataFrame:
     rows = settle(_prefixes(docs, _sketch(docs)))
     listed = rows.filter(F.col("prefix").isNotNull()).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", "n", (F.col("n") - F.col("pos")).alias("rest"))
     found = settle(_first_pairs(listed.repartition("token").sortWithinPartitions("token", F.desc(F.col("rest") / F.col("n")), "grp")))
+    sweep(docs.sparkSession)
     made, long_ = found.filter(F.col("a").isNotNull()), found.filter(F.col("a").isNull()).select(F.col("b").alias("token"))
     nodes = settle(rows.filter(F.col("node").isNotNull()).groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id")))
-    groups = settle(nodes.groupBy("grp").agg(F.min("node").alias("one"), F.count(F.lit(1)).alias("k")))
+    groups = settle(nodes.groupBy("grp").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("k")))
     one = lambda c: groups.select(F.col("grp").alias(c), F.col("one").alias(f"one_{c}")).hint("merge")
     across = made.join(one("a"), "a").join(one("b"), "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
-    inside = nodes.join(groups.filter("k > 1").hint("merge"), "grp").filter("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    inside = nodes.join(groups.filter("k > 1").hint("merge"), "grp").filter("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
     first = settle(across.union(inside))
-    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    sets = settle(_sets(docs, nodes.join(ends, "node")))
-    links = settle(_verified(first, sets))
-    roots = components(links)
+    links = settle(_verified(docs, first))
+    roots = components(links).select(F.col("node").alias("doc_id"), "root")
     sized = lookup(nodes, groups.select("grp", "k"), "grp")
-    members = settle(sized.join(roots.hint("merge"), "node", "left").select("grp", "node", "k", F.coalesce("root", "node").alias("root")))
+    members = settle(sized.join(roots.hint("merge"), "doc_id", "left").select("grp", F.col("doc_id").alias("node"), "k", F.coalesce("root", "doc_id").alias("root")))
     others = _apart(made, members)
     if long_.head(1):
         others = others.union(_other_pairs(listed, long_, members))
     others = settle(others.distinct().join(first, ["a", "b"], "left_anti"))
     if others.head(1):
-        ends = others.select(F.col("a").alias("node")).union(others.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-        more = settle(_sets(docs, nodes.join(ends, "node")))
-        links = settle(links.union(_verified(others, sets.union(more))))
-        roots = components(links)
-    release(sets, found)
-    # the smallest doc_id of a component, then of each node, then of each row
-    named = settle(nodes.join(roots.hint("merge"), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
-    least = settle(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    by_node = settle(lookup(named, least, "root").select("node", "component_id"))
+        links = settle(links.union(_verified(docs, others)))
+        roots = components(links).select(F.col("node").alias("doc_id"), "root")
+    by_node = settle(nodes.join(roots.hint("merge"), "doc_id", "left").select("node", F.coalesce("root", "doc_id").alias("component_id")))
+    release(found)
     full = lookup(rows.select("doc_id", "n", "node").filter(F.col("node").isNotNull()), by_node, "node")
     bare = rows.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(bare)
