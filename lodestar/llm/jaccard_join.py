@@ -18,6 +18,8 @@ SHINGLE, PERCENT = 5, 75
 SKETCH = 1 << 16
 #: In a shingle's list all pairs of the first PAIRED groups and those of the first HUBS groups with all others come first.
 PAIRED, HUBS = 24, 4
+#: Rows of a list held in memory at a time; slots of a document's counts, as many as shingles or so.
+BLOCK, SLOTS = 512, (64, 8192)
 #: Bits of the filter for the texts to read again, at most: 16 MB.
 FILTER_BITS = 1 << 27
 #: Bytes of text hashed at a time.
@@ -93,8 +95,14 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _slots(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by their last bits, 255 for any larger count."""
+    m = min(max(SLOTS[0], 1 << (len(s) - 1).bit_length()), SLOTS[1])
+    return np.minimum(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
+
+
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, node (hash of the whole set), grp (hash of size and prefix), prefix (rarest shingles in order) of every row.
+    """doc_id, n, node (hash of the whole set), grp (hash of size and prefix), prefix (rarest shingles in order), slots (counts) of every row.
 
     Of a group only the first row of each task has its prefix, which stands for all.
     """
@@ -108,16 +116,16 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     s = shingles(t)
                     n = len(s)
                     if not n:
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
                     prefix = s[np.lexsort((s, sketch[(s >> np.uint64(48)).astype(np.int64)]))[: n - (PERCENT * n + 99) // 100 + 1]]
                     node, group = (xxhash.xxh64_intdigest(x.tobytes(), n) - (1 << 63) for x in (s, prefix))
-                    rows.append((n, node, group, None if group in seen else prefix.view(np.int64)))
+                    rows.append((n, node, group, None if group in seen else prefix.view(np.int64), _slots(s)))
                     seen.add(group)
-                n, node, group, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "grp", "prefix"])
+                n, node, group, prefix, slots = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "n", "node", "grp", "prefix", "slots"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, slots binary")
 
 
 def _fits(na, ra, nb, rb):
@@ -219,16 +227,64 @@ def _other_pairs(postings: DataFrame, long_: DataFrame, members: DataFrame) -> D
     """For the long lists, every pair of members that may link and whose ends are not yet in one component.
 
     Of a list's components the one with most rows is compared with the rows outside it only, so lists that one group
-    of near copies fills give no pairs here.
+    of near copies fills give no pairs here. The rows outside are dealt in blocks, which all rows of the list pass by.
     """
     own = postings.join(long_, "token").join(members.select("grp", "node", "root").hint("merge"), "grp")
     own = settle(own.select("token", "node", "n", "rest", "root").distinct())
     counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = settle(counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main")))
-    listed = settle(own.join(main, "token"))
-    few = listed.filter("root <> main").select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "rest", "root")))
-    at = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & ((100 + PERCENT) * F.least("rest", "rest2") >= PERCENT * (F.col("n") + F.col("n2")))
-    return listed.join(few, "token").filter(at).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    lists = settle(counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"), F.expr(f"cast(ceil((k - m.k) / {BLOCK}) as int)").alias("blocks")))
+    listed = settle(own.join(lists, "token"))
+    few = listed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("probe", F.lit(False))
+    probes = listed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint")).withColumn("probe", F.lit(True))
+    names = ["token", "block", "probe", "node", "n", "rest", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, np.zeros((4, 0), np.int64)  # the rows outside the main component that the open list's probes meet
+        for b in batches:
+            token, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            probe = b.column(2).to_numpy(zero_copy_only=False)
+            rows = np.stack([b.column(k).to_numpy() for k in range(3, 7)]) if b.num_rows else np.zeros((4, 0), np.int64)
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1
+            made = [np.zeros((0, 2), np.int64)]
+            for i, j in zip([0, *cut], [*cut, len(token)], strict=True):
+                if i == j:
+                    continue
+                if key != (token[i], part[i]):
+                    key, block = (token[i], part[i]), np.zeros((4, 0), np.int64)
+                mine = ~probe[i:j]
+                block = np.concatenate((block, rows[:, i:j][:, mine]), axis=1)
+                asks = rows[:, i:j][:, ~mine]
+                (x, n, r, c), (x2, n2, r2, c2) = (v[:, None] for v in asks), block
+                p, q = np.nonzero((c != c2) & _fits(n, r, n2, r2))
+                made.append(np.stack((np.minimum(asks[0][p], x2[q]), np.maximum(asks[0][p], x2[q])), axis=1))
+            pairs = np.unique(np.concatenate(made), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = few.select(names).union(probes.select(names)).repartition("token", "block").sortWithinPartitions("token", "block", "probe")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose slot counts leave room for a link: no intersection exceeds the sum of lesser counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                u, v = (np.frombuffer(z.as_py(), np.uint8).astype(np.int64) for z in (x, y))
+                u, v = (np.where(z == 255, 1 << 40, z) for z in (u, v))
+                m = min(len(u), len(v))
+                u, v = u.reshape(-1, m).sum(axis=0), v.reshape(-1, m).sum(axis=0)  # slot i of more slots is slot i mod m
+                most = int(np.minimum(u, v).sum())
+                keep.append((100 + PERCENT) * most >= PERCENT * int(u.sum() + v.sum()) or most >= 1 << 40 or max(u.max(), v.max()) >= 1 << 40)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def counts(name: str) -> DataFrame:
+        some = _likely(rows.select("doc_id", "slots"), pairs.select(F.col(name).alias("doc_id")).distinct())
+        return some.select(F.col("doc_id").alias(name), F.col("slots").alias(f"slots_{name}")).hint("merge")
+
+    both = pairs.join(counts("b"), "b").join(counts("a"), "a")
+    return settle(both.select("a", "b", "slots_a", "slots_b").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -253,7 +309,7 @@ def join(docs: DataFrame) -> DataFrame:
     across = made.join(one("a"), "a").join(one("b"), "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
     inside = nodes.join(groups.filter("k > 1").hint("merge"), "grp").filter("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
     first = settle(across.union(inside))
-    links = settle(_verified(docs, first))
+    links = settle(_verified(docs, _possible(rows, first)))
     roots = components(links).select(F.col("node").alias("doc_id"), "root")
     sized = lookup(nodes, groups.select("grp", "k"), "grp")
     members = settle(sized.join(roots.hint("merge"), "doc_id", "left").select("grp", F.col("doc_id").alias("node"), "k", F.coalesce("root", "doc_id").alias("root")))
@@ -262,7 +318,7 @@ def join(docs: DataFrame) -> DataFrame:
         others = others.union(_other_pairs(listed, long_, members))
     others = settle(others.distinct().join(first, ["a", "b"], "left_anti"))
     if others.head(1):
-        links = settle(links.union(_verified(docs, others)))
+        links = settle(links.union(_verified(docs, _possible(rows, others))))
         roots = components(links).select(F.col("node").alias("doc_id"), "root")
     by_node = settle(nodes.join(roots.hint("merge"), "doc_id", "left").select("node", F.coalesce("root", "doc_id").alias("component_id")))
     release(found)
