@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestar.plans import activity, retrieval
+
+QUERIES = retrieval.QUERIES | activity.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | activity.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Similar items for a set of seeds: vector recall, then weighted re-ranking with reasons."""
+    return retrieval.similar_items(spark, sf_dir)
