@@ -234,8 +234,8 @@ def _other_pairs(postings: DataFrame, long_: DataFrame, members: DataFrame) -> D
     counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     lists = settle(counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"), F.expr(f"cast(ceil((k - m.k) / {BLOCK}) as int)").alias("blocks")))
     listed = settle(own.join(lists, "token"))
-    few = listed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("probe", F.lit(False))
-    probes = listed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint")).withColumn("probe", F.lit(True))
+    few = listed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint"))).withColumn("probe", F.lit(False))
+    probes = listed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("blocks") - 1).cast("bigint")))).withColumn("probe", F.lit(True))
     names = ["token", "block", "probe", "node", "n", "rest", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
