@@ -6,20 +6,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import settle
+from lodestar.llm._shared import release, settle
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: Rows the partitions are learned from at most; rows a partition is planned for; fewest and most partitions.
 SAMPLE, CELL_ROWS, CELLS = 8192, 1000, (8, 256)
 #: Neighbours of a graph node; hidden units; share of a sample row's neighbours that routing must reach.
 GRAPH, HIDDEN, AIM = 12, 128, 0.985
-#: Candidates and queries that meet in one group at most.
-BLOCK, QUERIES = 512, 512
+#: Candidates and queries that meet in one group, at most or so.
+BLOCK, QUERIES = 2048, 512
 
 
 @dataclass
@@ -38,9 +37,9 @@ class Router:
 
 
 def _graph(x: np.ndarray, k: int) -> np.ndarray:
-    out = []
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    out, x = [], x.astype(np.float32)
+    for at in range(0, len(x), 128):  # small stretches: the driver's memory is not the executors'
+        s = x[at : at + 128] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         out.append(np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k])
     return np.concatenate(out)
@@ -114,20 +113,34 @@ def fit(x: np.ndarray, cells: int, seed: int = 5) -> Router:
     return router
 
 
-def _rows(batch: pa.RecordBatch) -> np.ndarray:
+def _rows(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     v = batch.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 1))
 
 
+def _floors(x: np.ndarray, ids: np.ndarray, use: np.ndarray, known: np.ndarray, known_ids: np.ndarray, known_cells: np.ndarray, k: int) -> np.ndarray:
+    """For each query of x the k-th best score among known candidates in the partitions it searches: no result is below."""
+    out = np.full(len(x), -np.inf)
+    if len(known) < k:
+        return out
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ known.T
+        s[~use[at : at + 256][:, known_cells] | (ids[at : at + 256, None] == known_ids)] = -np.inf
+        out[at : at + 256] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    return np.where(np.isfinite(out), out - 1e-9 * (1 + np.abs(out)), -np.inf)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The k nearest found among vectors (vec_id, embedding) of each row of queries (the same columns), by inner product.
 
     query_id, rank, vec_id, score (the exact inner product in double precision), nearest first, ties to the smaller
     vec_id; a row of the query's own id is no candidate. Null and zero vectors, those with null or non-finite parts, and
     those whose length isn't the table's most frequent one take no part on either side. Every other row is indexed: it
-    lies in the partition the router finds most probable, and groups of at most BLOCK candidates are searched apart, so
-    that a partition of many equal vectors is only more groups. Repeated rows are candidates each; fewer than k
-    candidates are all returned; without any there are no rows.
+    lies in the partition the router finds most probable, and groups of about BLOCK candidates are searched apart. Of
+    equal vectors the k + 1 least ids are enough for any answer and are what is compared. A group passes on only what reaches
+    the k-th best of the sample's rows in the query's partitions, below which no result lies. Repeated rows are candidates
+    each; fewer than k candidates are all returned; without any there are no rows.
     """
     spark = vectors.sparkSession
 
@@ -141,19 +154,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dim, rows = sizes[0]
+    dim = sizes[0][0]
     all_, asked = all_.filter(F.size("v") == dim), usable(queries, "query_id").filter(F.size("v") == dim)
+    equal = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    fewer = settle(all_.withColumn("place", F.row_number().over(equal)).filter(F.col("place") <= k + 1))
+    firsts = fewer.filter("place = 1").select("vec_id", "v")
+    rows = firsts.count()
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003))
-    sample = np.array([r.v for r in all_.filter(share < F.lit(1.2 * SAMPLE / rows * 1_000_003)).select("v").distinct().limit(SAMPLE).collect()] or [[1.0] * dim])
+    sample = firsts.filter(share < F.lit(1.2 * SAMPLE / rows * 1_000_003)).limit(SAMPLE).toArrow()
+    sample = sample if len(sample) else firsts.limit(1).toArrow()
+    known, known_ids = _rows(sample), sample.column("vec_id").to_numpy()
+    order = np.lexsort(known.T)
+    known, known_ids = known[order], known_ids[order]
     cells = int(np.clip(2 ** round(np.log2(max(1, rows / CELL_ROWS))), *CELLS))
-    sample = sample[np.lexsort(sample.T)]
-    router = fit(sample, cells)
+    router = fit(known, cells)
+    known_cells = np.argmax(router.logits(known), axis=1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.argmax(router.logits(_rows(b)), axis=1) if b.num_rows else [], pa.int32())], ["vec_id", "v", "cell"])
 
-    index = settle(all_.mapInArrow(assign, "vec_id bigint, v array<double>, cell int"))
+    index = settle(fewer.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v array<double>, cell int"))
+    release(fewer)
     held = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
     count = np.array([held.get(c, 0) for c in range(len(router.b2))])
 
@@ -161,26 +183,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
         for b in batches:
             if not b.num_rows:
                 continue
-            order = np.argsort(-router.logits(_rows(b)), axis=1, kind="stable")
+            x = _rows(b)
+            order = np.argsort(-router.logits(x), axis=1, kind="stable")
             reached = np.cumsum(count[order], axis=1) - count[order]  # candidates in more probable partitions
             use = (np.arange(order.shape[1]) < router.probes) | (reached <= 2 * k)
             cells = [o[u & (count[o] > 0)] for o, u in zip(order, use, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "cells"])
+            searched = np.zeros(use.shape, bool)
+            np.put_along_axis(searched, order, use, axis=1)
+            floors = _floors(x, b.column(0).to_numpy(), searched, known, known_ids, known_cells, k)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floors), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "least", "cells"])
 
-    routed = settle(asked.mapInArrow(route, "query_id bigint, v array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells"))
+    routed = settle(asked.mapInArrow(route, "query_id bigint, v array<double>, least double, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells"))
     asks = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
     # a partition's candidates lie in `b` blocks and its queries in `q`; each pair of blocks is a group
     plan = spark.createDataFrame([(int(c), -(-int(n) // BLOCK), -(-asks.get(c, 0) // QUERIES)) for c, n in held.items()], "cell int, b int, q int")
     salt = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.col(n)).cast("int")
     left = index.join(F.broadcast(plan), "cell").filter("q > 0").select("cell", salt("vec_id", "b").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), "vec_id", "v")
-    right = routed.join(F.broadcast(plan), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"), salt("query_id", "q").alias("qb"), "query_id", "v")
+    right = routed.join(F.broadcast(plan), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"), salt("query_id", "q").alias("qb"), "query_id", "v", "least")
 
-    def rerank(cand: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if cand.empty or ask.empty:
+    def rerank(cand: pa.Table, ask: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
+        if not len(cand) or not len(ask):
             return none
-        c, q = np.stack(cand.v.to_numpy()), np.stack(ask.v.to_numpy())
-        ids, asked_ids = cand.vec_id.to_numpy(), ask.query_id.to_numpy()
+        c, q = _rows(cand), _rows(ask)
+        ids, asked_ids, least = (t.column(n).to_numpy() for t, n in ((cand, "vec_id"), (ask, "query_id"), (ask, "least")))
         distinct, own = np.unique(c, axis=0, return_inverse=True)
         own = own.ravel()
         order = np.lexsort((ids, own))
@@ -191,17 +217,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
         floor = -np.partition(-rough, reach - 1, axis=1)[:, reach - 1]
         out = []
         for i, query in enumerate(asked_ids):
-            at = np.flatnonzero(rough[i] >= floor[i] - 1e-9 * (1 + abs(floor[i])))
+            at = np.flatnonzero(rough[i] >= max(least[i], floor[i] - 1e-9 * (1 + abs(floor[i]))))
+            if not len(at):
+                continue
             exact = (distinct[at] * q[i]).sum(axis=1)
             who = np.concatenate([groups[j] for j in at])
             score = np.repeat(exact, [len(groups[j]) for j in at])
             who, score = who[keep := who != query], score[keep]
             best = np.lexsort((who, -score))[:k]
             out.append((np.full(len(best), query), who[best], score[best]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], none.column_names) if out else none
 
     key = ["cell", "cb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rerank, "query_id bigint, vec_id bigint, score double")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
