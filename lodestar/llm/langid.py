@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm._shared import settle
+
 #: N-grams of 1 to 3 letters; length of a language's profile and of a document's; documents a language is learned from.
 PROFILE, DOC_PROFILE, TRAIN_DOCS = 1000, 300, 3000
+#: Languages whose rates (a row each) are broadcast; beyond it rows meet them by a sort-merge join.
+FEW_LANGS = 10_000
 
 
 @functools.cache
@@ -47,7 +51,8 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, size: int = PROFILE) -> d
     texts, taken by a hash of doc_id. At most `size` codes per language reach the driver.
     """
     known = docs.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    rate = known.groupBy("lang").agg((F.lit(max_docs) / F.count(F.lit(1))).alias("rate"))
+    rate = settle(known.groupBy("lang").agg((F.lit(max_docs) / F.count(F.lit(1))).alias("rate")))
+    rate = F.broadcast(rate) if rate.count() <= FEW_LANGS else rate.hint("merge")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003)
     sample = known.join(rate, "lang").filter(share < F.col("rate")).select("lang", "text")
 
