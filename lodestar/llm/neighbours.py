@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import release, settle
+from lodestar.llm._shared import release, settle, sweep
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: Rows the partitions are learned from at most; rows a partition is planned for; fewest and most partitions.
@@ -158,6 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     all_, asked = all_.filter(F.size("v") == dim), usable(queries, "query_id").filter(F.size("v") == dim)
     equal = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     fewer = settle(all_.withColumn("place", F.row_number().over(equal)).filter(F.col("place") <= k + 1))
+    sweep(spark)
     firsts = fewer.filter("place = 1").select("vec_id", "v")
     rows = firsts.count()
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003))
@@ -169,6 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     cells = int(np.clip(2 ** round(np.log2(max(1, rows / CELL_ROWS))), *CELLS))
     router = fit(known, cells)
     known_cells = np.argmax(router.logits(known), axis=1)
+    sweep(spark)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,6 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
 
     index = settle(fewer.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v array<double>, cell int"))
     release(fewer)
+    sweep(spark)
     held = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
     count = np.array([held.get(c, 0) for c in range(len(router.b2))])
 
@@ -195,6 +198,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
 
     routed = settle(asked.mapInArrow(route, "query_id bigint, v array<double>, least double, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells"))
     asks = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
+    sweep(spark)
     # a partition's candidates lie in `b` blocks and its queries in `q`; each pair of blocks is a group
     plan = spark.createDataFrame([(int(c), -(-int(n) // BLOCK), -(-asks.get(c, 0) // QUERIES)) for c, n in held.items()], "cell int, b int, q int")
     salt = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.col(n)).cast("int")
