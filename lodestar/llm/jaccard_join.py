@@ -172,15 +172,15 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
     return postings.select("token", "grp", "n", "rest").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, and some others: a bitmap of hashes, of FILTER_BITS bits at most, is
-    broadcast, so that the texts are not shuffled."""
-    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+def _likely(rows: DataFrame, ids: DataFrame, key: str = "doc_id", room: int = 16) -> DataFrame:
+    """The rows whose key is in ids, and some others: a bitmap of hashes, of room bits for an id and FILTER_BITS bits at
+    most, is broadcast, so that what is not asked for is not shuffled."""
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (room * ids.count()).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    marks = ids.select(at("doc_id").alias("h")).groupBy(F.expr("h div 32768").alias("__part")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("__bits"))
-    own = docs.withColumn("__at", at("doc_id")).withColumn("__part", F.expr("__at div 32768")).join(F.broadcast(marks), "__part")
+    marks = ids.select(at(key).alias("h")).groupBy(F.expr("h div 32768").alias("__part")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("__bits"))
+    own = rows.withColumn("__at", at(key)).withColumn("__part", F.expr("__at div 32768")).join(F.broadcast(marks), "__part")
     byte = F.conv(F.hex(F.expr("substring(__bits, cast((__at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return own.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*docs.columns)
+    return own.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*rows.columns)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -226,10 +226,10 @@ def _apart(made: DataFrame, members: DataFrame) -> DataFrame:
 def _other_pairs(postings: DataFrame, long_: DataFrame, members: DataFrame) -> DataFrame:
     """For the long lists, every pair of members that may link and whose ends are not yet in one component.
 
-    Of a list's components the one with most rows is compared with the rows outside it only, so lists that one group
+    Postings of other lists are dropped before any shuffle. Of a list's components the one with most rows is compared with the rows outside it only, so lists that one group
     of near copies fills give no pairs here. The rows outside are dealt in blocks, which all rows of the list pass by.
     """
-    own = postings.join(long_, "token").join(members.select("grp", "node", "root").hint("merge"), "grp")
+    own = _likely(postings, long_, "token", 64).join(long_, "token").join(members.select("grp", "node", "root").hint("merge"), "grp")
     own = settle(own.select("token", "node", "n", "rest", "root").distinct())
     counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     lists = settle(counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"), F.expr(f"cast(ceil((k - m.k) / {BLOCK}) as int)").alias("blocks")))
