@@ -11,10 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows learned from and unlabelled rows the views label for each other, at most about so many.
-LABELLED, UNLABELLED = 4000, 4000
-#: Rounds of exchange, share of the pool that a view hands over in each, slots of hashed byte triples.
-ROUNDS, HANDED, SLOTS = 5, 0.05, 512
+from lodestar.llm._shared import release, settle
+
+#: Labelled rows learned from, at most about so many. All other rows are the pool the views label for each other.
+LABELLED = 4000
+#: Rounds of exchange, share of the pool that a view hands over in each, slots of hashed byte triples, slots of the other view.
+ROUNDS, HANDED, SLOTS, META = 5, 0.05, 512, 44
+#: Weight of a pseudo-label; in a pool of more than LABELLED rows so much less that all together weigh the same.
+PSEUDO = 0.3
+#: Steps of a score that are told apart when a view's surest rows are sought, and the greatest score so counted.
+STEPS, FAR = 128, 32
 ACCEPT_AT = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _KIND = np.zeros(256, np.int64)
@@ -22,19 +28,23 @@ for _k, _chars in enumerate((b" ", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTU
     _KIND[np.frombuffer(_chars, np.uint8)] = _k
 
 
-def text_view(text: str | None) -> np.ndarray:
-    """What the whole text says: hashed byte triples of it, square roots of counts, unit length."""
+def triples(text: str | None) -> np.ndarray:
+    """Counts of the hashed byte triples of the whole text."""
     b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     if len(b) < 3:
-        return np.zeros(SLOTS, np.float32)
+        return np.zeros(SLOTS, np.int64)
     h = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)
-    v = np.sqrt(np.bincount(h >> np.uint32(23), minlength=SLOTS)).astype(np.float32)
-    return v / np.linalg.norm(v)
+    return np.bincount(h >> np.uint32(23), minlength=SLOTS)
+
+
+def text_view(counts: np.ndarray) -> np.ndarray:
+    """What whole texts say, from rows of their triples' counts: square roots, unit length."""
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
 def meta_view(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """How the page comes: its source and language, its size and its layout (shares of kinds of characters, lines)."""
-    v = np.zeros(32 + 12, np.float32)
+    v = np.zeros(META, np.float32)
     v[zlib.crc32((source or "\0").encode()) % 24] = 1
     v[24 + zlib.crc32((lang or "\0").encode()) % 8] = 1
     b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
@@ -49,16 +59,24 @@ def meta_view(text: str | None, lang: str | None, source: str | None, n_chars: i
     return v
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3) -> np.ndarray:
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1).astype(np.float64)
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss of rows x, without penalty."""
+    x = _with_one(x)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (p - y), (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 1e-3) -> np.ndarray:
     """Weights (the last one the intercept) of a logistic regression, by Newton's method with a quadratic penalty."""
-    x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1).astype(np.float64)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + strength * len(x) * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + strength * len(x) * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
+        g, h = _slopes(x, y, w)
+        step = np.linalg.solve(h + strength * len(x) * np.eye(len(w)), g + strength * len(x) * w)
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -72,44 +90,135 @@ def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Model:
     views: tuple[np.ndarray, np.ndarray]  # weights of the text and the metadata view
     scale: tuple[np.ndarray, np.ndarray]  # slope and intercept that calibrate either view
+    pool: int = 0  # unlabelled rows that were scored in every round
+    given: tuple[int, int] = (0, 0)  # of them, rows that the text and the metadata view have been taught
+    rounds: tuple = ()  # what `taught` needs to give the same pseudo-labels again
 
     def logits(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(_score(x, w) * s[0] + s[1] for x, w, s in zip((text, meta), self.views, self.scale, strict=True))
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> Model:
-    """Co-train on labelled rows (y 0 or 1) and an unlabelled pool; every fourth labelled row only calibrates."""
+def _bins(s: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(s * STEPS), -FAR * STEPS, FAR * STEPS - 1).astype(np.int64)
+
+
+def taught(x: tuple[np.ndarray, np.ndarray], rounds: list) -> tuple[np.ndarray, np.ndarray]:
+    """Pseudo-label (1, 0, or -1 for none) that the text and the metadata view have for each row after these rounds.
+
+    A round has the weights of both views and, for each, the bins of scores from which up and down to which it teaches
+    the other. A row keeps the label of the first round that gave it one, so rounds are all there is to remember.
+    """
+    given = np.full(len(x[0]), -1), np.full(len(x[0]), -1)
+    for w, cuts in rounds:
+        for k in (0, 1):
+            at, free = _bins(_score(x[k], w[k])), given[1 - k] < 0
+            given[1 - k][free & (at >= cuts[k][0])] = 1
+            given[1 - k][free & (at <= cuts[k][1])] = 0
+    return given
+
+
+def _total(pool: DataFrame, part) -> np.ndarray | float:
+    """Sum over all rows of pool of part(views), an array of one size whatever the number of rows; 0 without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                got = part(_unpacked(b))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
+
+    add = lambda a, b: a + b
+    return pool.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r[0])).treeAggregate(0.0, add, add)
+
+
+def _cuts(free: np.ndarray, n_up: int, n_down: int) -> tuple[int, int]:
+    """Bins from which up and down to which lie at most so many free rows (or the outermost bin that has any), beyond a score of 1 or -1."""
+
+    def last(counts: np.ndarray, most: int) -> int:  # number of outer bins to take
+        return max(int(np.searchsorted(np.cumsum(counts), most, "right")), int(np.flatnonzero(counts)[0]) + 1) if counts.any() else 0
+
+    half = FAR * STEPS
+    return half - last(free[: half + STEPS - 1 : -1], n_up), last(free[: half - STEPS], n_down) - 1 - half
+
+
+def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFrame) -> Model:
+    """Co-train on labelled rows (y 0 or 1) and an unlabelled pool; every fourth labelled row only calibrates.
+
+    pool has the columns triples and meta. In each round every row of it is scored, and either view teaches the other
+    what it is surest of in the whole pool. Counts of scores and sums of gradients and Hessians are all that leaves it.
+    """
     held = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    given = [{}, {}]  # row of the pool -> pseudo-label that the view has been taught
-    share = y.mean()
-    for turn in range(ROUNDS + 1):
-        w = []
-        for k in (0, 1):
-            at = np.fromiter(given[k], int, len(given[k]))
-            x = np.concatenate((views[k][~held], pool[k][at])) if len(at) else views[k][~held]
-            t = np.concatenate((y[~held], np.fromiter(given[k].values(), float, len(at))))
-            w.append(fit_logistic(x, t, np.concatenate((np.ones((~held).sum()), np.full(len(at), 0.3)))))
-        if turn == ROUNDS or not len(pool[0]):
+    share, rounds, size = y.mean(), [], 0
+    own, t = tuple(v[~held] for v in views), y[~held]
+    w = tuple(fit_logistic(x, t) for x in own)
+    tri = [np.triu_indices(x.shape[1] + 1) for x in own]
+    ends = np.cumsum([0, *(n for x, i in zip(own, tri, strict=True) for n in (x.shape[1] + 1, len(i[0]), 1))])
+    given = (0, 0)
+    for _ in range(ROUNDS):
+
+        def scores(x, w=w, rounds=tuple(rounds)):
+            known = taught(x, rounds)
+            return np.concatenate([np.bincount(_bins(_score(x[k], w[k]))[known[1 - k] < 0] + FAR * STEPS, minlength=2 * FAR * STEPS) for k in (0, 1)])
+
+        counts = _total(pool, scores)
+        if not np.any(counts):
             break
-        for k in (0, 1):  # each view labels what it is surest of, in the classes' shares, for the other
-            s = _score(pool[k], w[k])
-            s_up = np.where([i in given[1 - k] for i in range(len(s))], -np.inf, s)
-            n_up, n_down = max(1, int(HANDED * len(s) * share)), max(1, int(HANDED * len(s) * (1 - share)))
-            up = [int(i) for i in np.argsort(-s_up)[:n_up] if s_up[i] > 1]
-            s_down = np.where(np.isinf(s_up), np.inf, s)
-            down = [int(i) for i in np.argsort(s_down)[:n_down] if s_down[i] < -1]
-            given[1 - k].update({i: 1.0 for i in up} | {i: 0.0 for i in down})
+        counts = counts.reshape(2, -1)
+        size = size or int(counts[0].sum())
+        n_up, n_down = max(1, int(HANDED * size * share)), max(1, int(HANDED * size * (1 - share)))
+        rounds.append((w, tuple(_cuts(c, n_up, n_down) for c in counts)))
+        weight = min(1.0, LABELLED / size)
+        for _ in range(12):  # both views take a step of Newton's method in one pass
+
+            def sums(x, w=w, rounds=tuple(rounds)):
+                out = []
+                for k, label in enumerate(taught(x, rounds)):
+                    g, h = _slopes(x[k][label >= 0], label[label >= 0], w[k])
+                    out += [g, h[tri[k]], [(label >= 0).sum()]]
+                return np.concatenate(out)
+
+            total = np.broadcast_to(_total(pool, sums), ends[-1])
+            parts = [total[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            given = int(parts[2][0]), int(parts[5][0])
+            new = []
+            for k in (0, 1):
+                g, flat, n = parts[3 * k : 3 * k + 3]
+                h = np.zeros((len(g), len(g)))
+                h[tri[k]] = flat
+                h = h + h.T - np.diag(np.diag(h))
+                g_own, h_own = _slopes(own[k], t, w[k])
+                penalty = 1e-3 * (len(t) + weight * n[0])
+                new.append(w[k] - np.linalg.solve(h_own + PSEUDO * weight * h + penalty * np.eye(len(g)), g_own + PSEUDO * weight * g + penalty * w[k]))
+            moved = max(np.abs(a - b).max() for a, b in zip(new, w, strict=True))
+            w = tuple(new)
+            if moved < 1e-2:  # the next step would be about its square
+                break
     use = held if held.any() else ~held
-    scale = tuple(fit_logistic(_score(v[use], x)[:, None], y[use], np.ones(use.sum()), 1e-3) for v, x in zip(views, w, strict=True))
-    return Model(tuple(w), scale)
+    scale = tuple(fit_logistic(_score(v[use], x)[:, None], y[use]) for v, x in zip(views, w, strict=True))
+    return Model(w, scale, size, given, tuple(rounds))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows with the columns triples (bytes, or longer numbers for long texts) and meta."""
+    raw = b.column(b.schema.get_field_index("triples")).to_pylist()
+    counts = np.stack([np.frombuffer(r, np.uint8 if len(r) == SLOTS else np.uint32) for r in raw]).astype(np.float32)
+    meta = np.frombuffer(b"".join(b.column(b.schema.get_field_index("meta")).to_pylist()), np.float32).reshape(-1, META)
+    return text_view(counts), meta
 
 
 def _features(columns: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Triples' counts of texts, and their metadata view."""
     texts, langs, sources, sizes = columns
-    text = np.array([text_view(t) for t in texts], np.float32).reshape(len(texts), -1)
-    return text, np.array([meta_view(*x) for x in zip(texts, langs, sources, sizes, strict=True)], np.float32).reshape(len(texts), -1)
+    counts = np.array([triples(t) for t in texts], np.int64).reshape(len(texts), SLOTS)
+    return counts, np.array([meta_view(*x) for x in zip(texts, langs, sources, sizes, strict=True)], np.float32).reshape(len(texts), META)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -117,37 +226,37 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Model from bounded samples, by hash of doc_id, of labels (doc_id, quality) and of docs. None without both classes.
+    """Model from a bounded sample, by hash of doc_id, of labels (doc_id, quality) and from all docs. None without both classes.
 
     Labels that are null or neither 0 nor 1, or whose doc_id is null, are left out; of a document with several labels
-    the least counts.
+    the least counts. Every document without one of the sampled labels is in the unlabelled pool.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, meta = _features([b.column(k).to_pylist() for k in range(1, 5)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(list(text), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.float32()))], ["doc_id", "y", "text", "meta"])
+            counts, meta = _features([b.column(k).to_pylist() for k in range(1, 5)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([_packed(c) for c in counts], pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], ["doc_id", "y", "triples", "meta"])
 
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    n_known, n_docs = max(1, known.count()), max(1, docs.count())
-    some = known.filter(share < F.lit(LABELLED / n_known * 1_000_003)).groupBy("doc_id").agg(F.min("y").alias("y"))
-    rows = _plain(docs)
-    marked = rows.join(F.broadcast(some), "doc_id")  # about LABELLED rows of two numbers
-    pool = rows.withColumn("y", F.lit(-1)).filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < F.lit(UNLABELLED / n_docs * 1_000_003))
-    got = marked.select(*COLUMNS, "y").union(pool.select(*COLUMNS, "y")).mapInArrow(extract, "doc_id bigint, y int, text array<float>, meta array<float>").toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable")
-    y = got.y.to_numpy()
-    views = tuple(np.array(got[c].tolist(), np.float32) for c in ("text", "meta")) if len(got) else None
-    if views is None or len(np.unique(y[y >= 0])) < 2:
+    n_known = known.count()
+    if not n_known:
         return None
-    return cotrain(tuple(v[y >= 0] for v in views), y[y >= 0].astype(float), tuple(v[y < 0] for v in views))
+    some = known.filter(share < F.lit(LABELLED / n_known * 1_000_003)).groupBy("doc_id").agg(F.min("y").alias("y"))
+    rows = _plain(docs).join(F.broadcast(some), "doc_id", "left")  # about LABELLED rows of two numbers
+    seen = settle(rows.select(*COLUMNS, F.coalesce("y", F.lit(-1)).alias("y")).mapInArrow(extract, "doc_id bigint, y int, triples binary, meta binary"))
+    got = pa.Table.from_pandas(seen.filter("y >= 0").toPandas().sort_values(["doc_id", "y"], kind="stable"), preserve_index=False)
+    y = np.array(got.column("y").to_pylist(), float)
+    model = cotrain(_unpacked(got.combine_chunks().to_batches()[0]), y, seen.filter("y < 0").select("triples", "meta")) if len(np.unique(y)) == 2 else None
+    release(seen)
+    return model
 
 
 def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if model is None or not b.num_rows:
         return tuple(np.full(b.num_rows, 0.5) for _ in range(3))
-    text, meta = model.logits(*_features([b.column(b.schema.get_field_index(c)).to_pylist() for c in COLUMNS[1:]]))
+    counts, meta = _features([b.column(b.schema.get_field_index(c)).to_pylist() for c in COLUMNS[1:]])
+    text, meta = model.logits(text_view(counts), meta)
     odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return odds(text), odds(meta), odds((text + meta) / 2)
 

@@ -200,3 +200,27 @@ def test_queries_with_sql_and_pipeline(spark):
     ids = [r.doc_id for r in docs.collect()]
     assert kept["quality classifier"] >= kept["exact dedup"] >= kept["n-gram Jaccard join"] and max(map(ids.count, set(ids))) <= 2
     assert corpus_pipeline.run(spark, SF).select(F.sum("length")).first()[0] > 0
+
+
+def test_quality_learns_from_the_whole_pool(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    few = labels.filter("doc_id % 4 = 0")
+    model = quality.train(docs, few)
+    assert model.pool == docs.join(few.filter("quality in (0, 1)"), "doc_id", "left_anti").count() > 8000
+    assert all(g > 0.2 * model.pool for g in model.given), model.given
+    # the distributed fit against one in memory, on the same rows
+    rows = docs.select(*quality.COLUMNS).toPandas().sort_values("doc_id")
+    y = rows.doc_id.map(few.toPandas().groupby("doc_id").quality.min()).to_numpy(float)
+    counts, meta = quality._features([rows[c].tolist() for c in quality.COLUMNS[1:]])
+    x = quality.text_view(counts), meta
+    free = np.isnan(y)
+    taught = quality.taught(tuple(v[free] for v in x), model.rounds)
+    fit = np.flatnonzero(~free)[np.arange((~free).sum()) % 4 != 3]
+    for k in (0, 1):
+        at = np.flatnonzero(free)[taught[k] >= 0]
+        a = quality._with_one(np.concatenate((x[k][fit], x[k][at])))
+        t, weight = np.concatenate((y[fit], taught[k][taught[k] >= 0])), np.concatenate((np.ones(len(fit)), np.full(len(at), quality.PSEUDO * min(1, quality.LABELLED / model.pool))))
+        p = 1 / (1 + np.exp(-a @ model.views[k]))
+        penalty = 1e-3 * (len(fit) + min(1, quality.LABELLED / model.pool) * len(at))
+        assert len(at) == model.given[k] and np.abs(a.T @ (weight * (p - t)) + penalty * model.views[k]).max() < 0.05
