@@ -53,6 +53,24 @@ def test_discovery(spark):
     assert discovery.discover(spark.createDataFrame(rows[:6], "item_id bigint, x double, y double"), ["x", "y"])[1]["status"] == "library-too-small"
 
 
+def test_discovery_uses_every_row(spark):
+    rng = np.random.default_rng(3)
+    centres = np.array([(0.9, 0.1), (0.1, 0.9), (0.9, 0.9), (0.1, 0.1)])
+    x = centres[np.arange(7000) % 4] + rng.uniform(-0.25, 0.25, (7000, 2))
+    got, status = discovery.discover(spark.createDataFrame(pd.DataFrame(x, columns=["x", "y"]).assign(item_id=range(7000))), ["x", "y"])
+    own = got.toPandas().sort_values("item_id").cluster.to_numpy() - 1
+    mean = np.stack([x[own == k].mean(0) for k in range(status["k"])])
+    assert len(own) == 7000 and np.bincount(own).min() >= 280 and (((x[:, None] - mean[None]) ** 2).sum(-1).argmin(1) == own).mean() > 0.999
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    per = np.stack([d[:, own == k].sum(1) for k in range(status["k"])], axis=1)
+    size, at = np.bincount(own), np.arange(7000)
+    a = per[at, own] / (size[own] - 1)
+    per = per / size
+    per[at, own] = np.inf
+    b = per.min(1)
+    assert abs(((b - a) / np.maximum(a, b)).mean() - status["silhouette"]) < 1e-6
+
+
 def test_pca_cosines(spark):
     x = np.random.default_rng(1).standard_normal((40, 5))
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcde")).assign(item_id=range(40)))
