@@ -123,8 +123,8 @@ SIMILAR_SQL = SPACE_SQL + f""", pool AS ({TOPK_SQL}200), sims AS (SELECT query_i
 
 
 def _sequence_pairs(spark, sf) -> DataFrame:
-    """Pairs of users next to each other in id, whatever the number of users."""
-    t = b.token_sequences(spark, sf)
+    """Pairs of users next to each other in id, whatever the number of users; at most 120 evenly spaced tokens of each."""
+    t = b.token_sequences(spark, sf).withColumn("tokens", fs.cap_sequence(F.col("tokens")))
     return t.select(F.col("user_id").alias("u1"), F.col("tokens").alias("x")).join(t.select((F.col("user_id") - 1).alias("u1"), F.col("tokens").alias("y")), "u1")
 
 

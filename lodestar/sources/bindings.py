@@ -63,11 +63,11 @@ INTERACTION_SQL = (
 )
 
 
-def token_sequences(spark: SparkSession, sf_dir: str, cap: int = 120) -> DataFrame:
-    """user_id and its events in order as an array of one-letter tokens, the first `cap`."""
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id and all its events in order as an array of one-letter tokens."""
     letters = F.create_map(*(F.lit(x) for kv in TOKENS.items() for x in kv))
     rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", letters[F.col("event_type")].alias("t"))))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.transform(rows, lambda r: r["t"]), 1, cap).alias("tokens"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(rows, lambda r: r["t"]).alias("tokens"))
 
 
 SEQUENCE_SQL = "SELECT user_id, list(t ORDER BY ts, event_id)[1:120] AS tokens FROM (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TOKENS.items()) + " END AS t FROM events) GROUP BY user_id"

@@ -33,6 +33,23 @@ def test_topk_prunes_and_negative_control(spark):
     assert first != other
 
 
+def test_sequences_reach_past_120_events(spark, tmp_path):
+    from lodestar.sources import bindings
+
+    kinds, n = list(bindings.TOKENS), 500
+    rows = [(u * 1000 + i, u, kinds[4 if i == n - 1 else i * 4 // n], i) for u in (1, 2) for i in range(n)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, s bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    whole = "".join(bindings.TOKENS[r[2]] for r in rows[:n])
+    even = [whole[round(i * (n - 1) / 119)] for i in range(120)]
+    assert ["".join(r.tokens) for r in bindings.token_sequences(spark, str(tmp_path)).collect()] == [whole] * 2
+    got = {r.user_id: r.tokens for r in QUERIES["cap_sequence"](spark, str(tmp_path)).collect()}
+    assert got[1] == "".join(whole[round(i * (n - 1) / 23)] for i in range(24)) and got[1][-1] == "e"
+    assert len(QUERIES["relative_tokens"](spark, str(tmp_path)).first().relative.split()) == n
+    pair = __import__("lodestar.plans.retrieval", fromlist=["x"])._sequence_pairs(spark, str(tmp_path)).first()
+    assert pair.x == pair.y == even and QUERIES["sequence_similarity"](spark, str(tmp_path)).first().combined == 1
+
+
 def test_dedupe_rejects_near_copies(spark):
     rows = [(1, i, 1 - i / 100, [1.0, 0.001 * i] if i < 5 else [float(np.cos(i)), float(np.sin(i))]) for i in range(12)]
     got = space.deduplicate(spark.createDataFrame(rows, "list_id bigint, item_id bigint, score double, vector array<double>"), 5).collect()
