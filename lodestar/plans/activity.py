@@ -54,9 +54,12 @@ def recent_history(spark, sf):
 
 
 def exclude_history(spark, sf):
-    log = b.interactions(spark, sf)
-    users, items = log.select("user_id").distinct(), b.vectors(spark, sf).filter("item_id < 100").select("item_id")
-    return users.join(items, F.lit(True)).join(interest.recent_history(log, 10), ["user_id", "item_id"], "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Counts among the 100 items that the query's SQL names."""
+    return interest.unseen_counts(b.interactions(spark, sf), b.vectors(spark, sf).filter("item_id < 100"), 10)
+
+
+def exclude_history_all(spark, sf):
+    return interest.unseen_counts(b.interactions(spark, sf), b.vectors(spark, sf), 10)
 
 
 def _pool(spark, sf) -> DataFrame:
@@ -231,7 +234,7 @@ def text_negation(spark, sf):
     return docs.select("doc_id", ft.negated_column(F.lower("text"), "that", ("and", "the")).alias("negated"))
 
 
-QUERIES = {f.__name__: f for f in (decay_weight, scope_weights, interest_vector, interest_blend, interest_metadata, interest_state, recent_history, exclude_history, feed_mmr, cold_start, popularity, time_grid, gap_fill, moving_average, median_filter, minmax_curve, rank_percent, run_collapse, interval_histogram, tempo_stats, high_intervals, densest_window, sliding_windows, sessions, segment_means, peaks_prominence, library_fingerprint, storage_profile, upsert_items, conditional_update, incremental_scan, windowed_delete, stale_flag, text_lexicon_match, text_negation)}
+QUERIES = {f.__name__: f for f in (decay_weight, scope_weights, interest_vector, interest_blend, interest_metadata, interest_state, recent_history, exclude_history, exclude_history_all, feed_mmr, cold_start, popularity, time_grid, gap_fill, moving_average, median_filter, minmax_curve, rank_percent, run_collapse, interval_histogram, tempo_stats, high_intervals, densest_window, sliding_windows, sessions, segment_means, peaks_prominence, library_fingerprint, storage_profile, upsert_items, conditional_update, incremental_scan, windowed_delete, stale_flag, text_lexicon_match, text_negation)}
 _HIST = "SELECT user_id, item_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_s DESC, event_id DESC) AS place FROM log WHERE event IN ('play', 'complete', 'replay', 'like')) WHERE place <= 10"
 ORACLE_SQL = {
     "decay_weight": f"WITH {LOG} SELECT event_id, round({WEIGHT_SQL}, 6) AS w FROM log",
@@ -242,6 +245,7 @@ ORACLE_SQL = {
     "interest_state": SCOPE_CTE + " SELECT user_id, " + ", ".join(f"round(sum(CASE WHEN scope = '{s}' THEN w END), 5) AS {s}" for s in interest.SCOPES) + " FROM sw GROUP BY 1",
     "recent_history": f"WITH {LOG} {_HIST}",
     "exclude_history": f"WITH {LOG}, h AS ({_HIST}) SELECT u.user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM log) u CROSS JOIN (SELECT vec_id FROM embeddings WHERE vec_id < 100) v WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = u.user_id AND h.item_id = v.vec_id) GROUP BY 1",
+    "exclude_history_all": f"WITH {LOG}, h AS ({_HIST}) SELECT u.user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM log) u CROSS JOIN embeddings v WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = u.user_id AND h.item_id = v.vec_id) GROUP BY 1",
     "popularity": f"WITH {LOG}, k AS (SELECT user_id, item_id, count(*) FILTER (WHERE event IN ('like', 'complete', 'replay')) AS k FROM log GROUP BY 1, 2) SELECT user_id, item_id, round(coalesce(k / CAST(nullif(max(k) OVER (PARTITION BY user_id), 0) AS DOUBLE), 0.0), 6) AS popularity FROM k",
     "time_grid": f"WITH {GRID_CTE} SELECT event_type, bucket, (bucket + 0.5) * CAST(3600 AS DOUBLE) AS time, round(mean, 6) AS mean, n, round(n / CAST(3600 AS DOUBLE), 9) AS rate FROM g",
     "gap_fill": f"WITH {GRID_CTE}, n AS (SELECT *, last_value(mean IGNORE NULLS) OVER b AS p, last_value(CASE WHEN mean IS NOT NULL THEN bucket END IGNORE NULLS) OVER b AS pt, first_value(mean IGNORE NULLS) OVER a AS nx, first_value(CASE WHEN mean IS NOT NULL THEN bucket END IGNORE NULLS) OVER a AS nt FROM g WINDOW b AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_type, bucket, round(coalesce(mean, CASE WHEN p IS NULL THEN nx WHEN nx IS NULL THEN p ELSE p + (nx - p) * (bucket - pt) / (nt - pt) END), 6) AS filled FROM n",

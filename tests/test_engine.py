@@ -56,6 +56,12 @@ def test_dedupe_rejects_near_copies(spark):
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and sum(r.item_id < 5 for r in got) == 1
 
 
+def test_exclude_history_makes_no_pairs(spark):
+    for name in ("exclude_history", "exclude_history_all"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_feed_against_loop(spark):
     got = QUERIES["feed_mmr"](spark, SF).toPandas()
     assert got.groupby("user_id")["rank"].max().le(20).all() and not got.duplicated(["user_id", "item_id"]).any()
