@@ -162,8 +162,26 @@ def repeat_groups(x: np.ndarray, threshold: float = 0.20) -> str:
     return "".join(chr(65 + label[i]) if label[i] < 26 else f"G{label[i]}" for i in range(len(x)))
 
 
+def whole_track(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Loudness and chroma of every frame of the whole signal, some frames at a time."""
+    view, rms, ch = frames(x), [], []
+    for i in range(0, len(view), 1024):
+        b = view[i : i + 1024]
+        rms.append(np.sqrt((b**2).mean(axis=1)))
+        ch.append(chroma(np.abs(np.fft.rfft(b * np.hanning(FRAME + 1)[:-1], axis=1)), rate))
+    return np.concatenate(rms), np.concatenate(ch)
+
+
+def sections(rms: np.ndarray, ch: np.ndarray, rate: int, seconds: float) -> tuple[list[float], str]:
+    """Edges of sections in seconds, and the letters of their repeats, by chroma and loudness on the half-second grid."""
+    grid = np.column_stack([grid_means(v, rate, seconds) for v in (*ch.T, rms / max(float(rms.max()), 1e-12))])
+    at = boundaries(grid)
+    means = np.stack([grid[i:j].mean(axis=0) for i, j in zip(at[:-1], at[1:], strict=True)])
+    return [min(i * STEP, seconds) for i in at], repeat_groups(means)
+
+
 def extract(content: bytes) -> dict:
-    """Scalars, sequences and curves of one WAV file."""
+    """Scalars, sequences and curves of one WAV file: loudness, dynamics and structure of the whole track, the rest of its loudest window."""
     x, rate = decode_wav(content)
     mono = x.mean(axis=0)
     lo, hi = densest_window(mono, rate)
@@ -171,7 +189,8 @@ def extract(content: bytes) -> dict:
     s = spectrum(y)
     power = s**2
     f = np.fft.rfftfreq(FRAME, 1 / rate)
-    rms = np.sqrt((frames(y) ** 2).mean(axis=1))
+    rms, whole = whole_track(mono, rate)
+    edges, repeats = sections(rms, whole, rate, len(mono) / rate)
     total = np.maximum(power.sum(axis=1), 1e-12)
     mag = np.maximum(s.sum(axis=1), 1e-12)
     centroid = (s * f).sum(axis=1) / mag
@@ -185,15 +204,15 @@ def extract(content: bytes) -> dict:
     consistency = float(np.clip(1 - gaps.std() / (gaps.mean() + 1e-9), 0, 1)) if len(gaps) else 0.0
     density = len(at) / max(seconds, 1e-9)
     return {
-        "seconds": len(mono) / rate, "rms_mean": float(rms.mean()), "rms_std": float(rms.std()), "dynamic_range": float(p[2] - p[0]), "crest": float(np.abs(y).max(initial=0) / (rms.mean() + 1e-9)),
+        "seconds": len(mono) / rate, "rms_mean": float(rms.mean()), "rms_std": float(rms.std()), "dynamic_range": float(p[2] - p[0]), "crest": float(np.abs(mono).max(initial=0) / (rms.mean() + 1e-9)),
         "centroid": float(centroid.mean()), "bandwidth": float(np.sqrt((s * (f - centroid[:, None]) ** 2).sum(axis=1) / mag).mean()), "flatness": float((np.exp(np.log(power + 1e-12).mean(axis=1)) / (power.mean(axis=1) + 1e-12)).mean()),
         "zcr": float((np.diff(np.signbit(y)) != 0).mean()) if len(y) > 1 else 0.0, **{f"{b}_share": float((power[:, (f >= u) & (f < v)].sum(axis=1) / total).mean()) for b, (u, v) in BANDS.items()},
         "bpm": tempo(s, rate), "beat_consistency": consistency, "onset_density": density, "danceability": 0.6 * consistency + 0.4 * min(density / 10, 1.0),
-        "key": key, "mode": mode, "chords": [f"{r}:{q}" for r, q, _ in seq], "energy_curve": grid_means(rms, rate, seconds).tolist(), "stereo": stereo(x)["status"],
+        "key": key, "mode": mode, "chords": [f"{r}:{q}" for r, q, _ in seq], "energy_curve": grid_means(rms, rate, len(mono) / rate).tolist(), "sections": edges, "repeats": repeats, "stereo": stereo(x)["status"],
     }
 
 
-SCHEMA = "path string, error string, " + ", ".join(f"{c} double" for c in ("seconds", "rms_mean", "rms_std", "dynamic_range", "crest", "centroid", "bandwidth", "flatness", "zcr", "low_share", "mid_share", "high_share", "bpm", "beat_consistency", "onset_density", "danceability")) + ", key string, mode string, chords array<string>, energy_curve array<double>, stereo string"
+SCHEMA = "path string, error string, " + ", ".join(f"{c} double" for c in ("seconds", "rms_mean", "rms_std", "dynamic_range", "crest", "centroid", "bandwidth", "flatness", "zcr", "low_share", "mid_share", "high_share", "bpm", "beat_consistency", "onset_density", "danceability")) + ", key string, mode string, chords array<string>, energy_curve array<double>, sections array<double>, repeats string, stereo string"
 
 
 def extract_features(files: DataFrame) -> DataFrame:

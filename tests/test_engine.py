@@ -148,3 +148,19 @@ def test_signal(spark):
     assert signal.key_mode(profile) == ("D", "major")
     assert signal.repeat_groups(np.array([[1, 0, 0], [0, 1, 0]] * 3, float)) == "ABABAB"
     assert signal.stereo(np.zeros((1, 9000)))["status"] == "mono" and signal.stereo(np.zeros((2, 9000)))["status"] == "silent"
+
+
+def test_signal_sees_the_whole_track():
+    rate, out = 8000, __import__("io").BytesIO()
+    t = np.arange(90 * rate) / rate
+    y = np.where(t < 60, 0.9 * np.sin(2 * np.pi * 220 * t), 0.02 * np.sin(2 * np.pi * 330 * t))
+    with __import__("wave").open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((y * 32767).astype("<i2").tobytes())
+    got = signal.extract(out.getvalue())
+    curve = np.array(got["energy_curve"])
+    assert len(curve) == 180 and curve[:118].min() > 0.5 and curve[122:].max() < 0.05
+    assert got["dynamic_range"] > 0.5 and abs(got["rms_mean"] - (0.9 * 2 + 0.02) / 3 / np.sqrt(2)) < 0.01
+    assert got["sections"][0] == 0 and got["sections"][-1] == 90 and any(abs(e - 60) <= 1 for e in got["sections"]) and len(got["repeats"]) == len(got["sections"]) - 1
