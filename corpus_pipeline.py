@@ -24,8 +24,9 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights; a document drawn twice is two rows."""
-    return mixing.mixed_documents(docs).drop("__shard", "__place")
+    """The mix by source weights, in the order of its shards and their places; a document drawn twice is two rows."""
+    rows = mixing.mixed_documents(docs)
+    return rows.repartitionByRange("__shard", "__place").sortWithinPartitions("__shard", "__place").drop("__shard", "__place")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

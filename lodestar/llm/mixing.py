@@ -59,8 +59,8 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, shards: int = SHARDS, s
     an order given by a hash of doc_id; one or two rounds through them are cut off at exactly the target, so that only
     the row at the cut is taken in part. The rounds are cut into blocks (a row belongs to the block it begins in), the
     splitting tree sets how many blocks of each source a shard gets, and an affine permutation of the block numbers
-    says which. __draws has, for each round that takes words of the row: round, words, shard, place (sort key
-    within the shard). Null source is a source of its own, the last; rows with null or empty text count 0 words and are
+    says which. __draws has, for each round that takes words of the row: round, words, shard, block (number
+    within the source), place (sort key within the shard). Null source is a source of its own, the last; rows with null or empty text count 0 words and are
     taken 0 times; equal rows are separate rows; an empty table gives an empty result. The number of sources must be
     small enough for the driver, as they are named categories.
     """
@@ -99,9 +99,10 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, shards: int = SHARDS, s
     def draw(i: int) -> Column:
         at = F.col("__at") + i * F.col("__source_size")
         got = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__take") - at))
-        rank = F.pmod(F.expr(f"(__at + {i} * __source_size) div {block}") * F.col("__step") + F.col("__shift"), F.col("__blocks"))
+        number = F.expr(f"(__at + {i} * __source_size) div {block}")
+        rank = F.pmod(number * F.col("__step") + F.col("__shift"), F.col("__blocks"))
         shard = F.size(F.filter("__ends", lambda e: e <= rank))
-        return F.struct(F.lit(i).alias("round"), got.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit(i), F.col("__key")).alias("place"))
+        return F.struct(F.lit(i).alias("round"), got.alias("words"), shard.alias("shard"), number.alias("block"), F.xxhash64(F.lit(seed), F.lit(i), F.col("__key")).alias("place"))
 
     draws = F.filter(F.array(*(draw(i) for i in range(MAX_EPOCHS))), lambda d: d["words"] > 0)
     out = placed.withColumn("__draws", draws).withColumn("__taken", F.aggregate("__draws", F.lit(0).cast("bigint"), lambda a, d: a + d["words"]))
@@ -126,4 +127,4 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("__size")))
     got = mix(sized, sizes=sized)
-    return got.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    return got.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), *(F.col(f"__draws.{c}").alias(c) for c in ("shard", "block", "place")))

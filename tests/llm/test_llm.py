@@ -141,6 +141,25 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_returns_the_tree(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("w "), 100).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op5_mixing(spark, str(tmp_path)).collect()
+    take = {s: round(t) for s, t in mixing.targets({f"s{i}": 100_000 for i in range(3)}).items()}
+    want = mixing.split_quotas([-(-take[f"s{i}"] // mixing.BLOCK_WORDS) for i in range(3)], mixing.SHARDS)
+    blocks, at = defaultdict(set), {}
+    for r in got:
+        assert len(r.shard) == len(r.block) == len(r.place) == -(-r.taken // 100)
+        for shard, block in zip(r.shard, r.block, strict=True):
+            blocks[shard, r.doc_id % 3].add(block)
+            assert at.setdefault((r.doc_id % 3, block), shard) == shard
+    assert [[len(blocks[k, i]) for i in range(3)] for k in range(mixing.SHARDS)] == want.tolist()
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = [r.doc_id for r in sorted(mixing.mixed_documents(docs).collect(), key=lambda r: (r["__shard"], r["__place"]))]
+    assert [r.doc_id for r in corpus_pipeline.source_mixing(spark, docs, str(tmp_path)).collect()] == order
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
