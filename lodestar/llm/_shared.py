@@ -55,19 +55,21 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> D
 
 
 def spans_of(text: Column, pattern: str, accept, gate: Column | None = None, context: int = 0) -> Column:
-    """All leftmost non-overlapping matches that accept(value) keeps, as structs (start, end, value, before).
+    """All leftmost non-overlapping matches that accept(value) keeps, as structs (start, end, value, near).
 
-    Code points, end exclusive. before: up to `context` code points that precede the match, back to the match
-    before it. The pieces between matches and the matches themselves, both in order, give the positions.
+    Code points, end exclusive. near: up to `context` code points that precede the match, back to the match
+    before it, a line break, and as many that follow the match, whatever they belong to. The pieces between matches
+    and the matches themselves, both in order, give the positions.
     """
-    struct = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
+    struct = "array<struct<start:bigint,end:bigint,value:string,near:string>>"
     empty = F.array().cast(struct)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["p"])
         end = start + F.length(x["v"])
-        before = F.substring(x["p"], -context, context) if context else F.lit("")
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), before.alias("before")))
+        sides = F.substring(x["p"], -context, context), F.substring(text, (end + 1).cast("int"), F.lit(context))
+        near = F.concat(sides[0], F.lit("\n"), sides[1]) if context else F.lit("")
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), near.alias("near")))
         return F.struct(end.alias("pos"), F.when(accept(x["v"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

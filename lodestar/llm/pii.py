@@ -16,7 +16,15 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: [0-9]([\x20-]?[0-9])+
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Countries by the length of their account codes; other countries' codes may have 15 to 34 characters.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_FIXED = [rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()]
+_OTHER = rf"(?!{'|'.join(IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+IBAN = rf"(?<![A-Za-z0-9])(?:{'|'.join([*_FIXED, _OTHER])})(?![A-Za-z0-9])"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 BASE = ("email", "ip", "card", "phone")
@@ -63,7 +71,7 @@ def _card(v: Column) -> Column:
 
 def _scored(kind: str, place: int):
     def score(s: Column) -> Column:
-        near = F.lower(s["before"]).rlike(CONTEXT[kind])
+        near = F.lower(s["near"]).rlike(CONTEXT[kind])
         total = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0))
         return F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end"), total.alias("score"))
 

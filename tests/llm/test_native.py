@@ -62,6 +62,17 @@ def test_pii(spark, docs):
     assert pii.scan(docs.limit(0)).count() == 0
 
 
+def test_pii_added_spans(spark):
+    code = "DE89370400440532013000"
+    cases = [
+        (f"{code} EUR 500", f"iban:0:{len(code)}"), (f"IBAN {code} BIC NWBKGB2L", f"iban:5:{5 + len(code)}"), (f"{code} 2024", f"iban:0:{len(code)}"), ("DE89 3704 0044 0532 0130 00 EUR", "iban:0:27"),
+        ("123-45-6789 is my SSN", "national:0:11"), ("123-45-6789, 987-65-4321 (SSN)", "national:0:11,national:13:24"), ("order 123-45-6789 shipped", ""), ("DE89370400440532013001 EUR", ""),
+    ]
+    found = pii.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string"))
+    got = {r.doc_id: ",".join(x for x in r.spans.split(",") if x.startswith(("iban", "national"))) for r in pii.digest_columns(found, pii.BASE).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases], got
+
+
 def test_secrets(spark, docs):
     model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(docs)))
     got = secrets.digest_columns(secrets.scan(docs, model), secrets.BASE).collect()
