@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import lookup, release, settle, sweep
+from lodestar.llm._shared import lookup, maybe_in, settle, slices, steps, sweep, trim
 from lodestar.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -20,57 +20,71 @@ SKETCH = 1 << 16
 PAIRED, HUBS = 24, 4
 #: Rows of a list held in memory at a time; slots of a document's counts, as many as shingles or so.
 BLOCK, SLOTS = 512, (64, 8192)
-#: Bits of the filter for the texts to read again, at most: 16 MB.
-FILTER_BITS = 1 << 27
-#: Bytes of text hashed at a time.
-CHUNK = 1 << 20
-_TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n at least."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 17)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, x in enumerate((_BASE, inverse)):
-            p = np.full(size, x, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a whole text's shingles: A-Z lowered, words between white space, five to a
-    shingle, all words as one if there are fewer, none without words."""
-    low = b" ".join((text or "").encode("utf-8", "replace").lower().split())
-    if not low:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(low, np.uint8)
-    blank = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate(([0], blank + 1)), np.concatenate((blank, [len(raw)]))
-    if len(starts) >= SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    out, at = [], 0
-    while at < len(starts):  # a stretch of shingles that begin within CHUNK bytes
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
-        first, last = int(starts[at]), int(ends[to - 1])
-        power, inverse = _power_tables(last - first + 1)
-        prefix = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(_TABLE[raw[first:last]] * power[: last - first], out=prefix[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        out.append(_mix((prefix[e] - prefix[s]) * inverse[s]))
-        at = to
-    return np.unique(np.concatenate(out))
+#: Rows of a list that pass by such a block in one task.
+PROBES = 1024
+#: Words whose digests a worker remembers, and the longest of them in bytes.
+WORDS, WORD_BYTES = 200_000, 40
+_known: dict[bytes, bytes] = {}
+#: Odd multipliers of the two halves of a shingle's hash.
+_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _digest(word: bytes) -> bytes:
+    got = hashlib.blake2b(word, digest_size=16).digest()
+    if len(_known) < WORDS and len(word) <= WORD_BYTES:
+        _known[word] = got
+    return got
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (a, b) in order."""
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if np.any(same & (b[1:] != b[:-1])):  # as good as never: one half alone is equal
+        both = np.unique(np.stack((a, b), axis=1), axis=0)
+        return both[:, 0].copy(), both[:, 1].copy()
+    keep = np.concatenate(([True], ~same))
+    return a[keep], b[keep]
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered distinct 128-bit hashes (two halves) of a whole text's shingles: A-Z lowered, words between white space,
+    five to a shingle, all words as one if there are fewer, none without words.
+
+    A word's digest is a cryptographic one, and a shingle's hash mixes its words' in turn, each half from its own half of
+    the digests, so that there is no algebra by which different shingles would meet.
+    """
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    known = list(map(_known.get, words))
+    if None in known:
+        known = [d or _digest(w) for w, d in zip(words, known, strict=True)]
+    halves = np.frombuffer(b"".join(known), np.uint64).reshape(-1, 2)
+    size = min(SHINGLE, len(words))
+    out = []
+    for k, odd in enumerate(_ODD):
+        h = np.full(len(words) - size + 1, size, np.uint64)
+        for j in range(size):
+            h = (h ^ halves[j : len(words) - size + 1 + j, k]) * odd
+            h ^= h >> np.uint64(32)
+        out.append(h)
+    return _ordered(*out)
+
+
+def in_common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share."""
+    if not len(x[0]) or not len(y[0]):
+        return 0
+    if np.any(y[0][1:] == y[0][:-1]):  # as good as never, see _ordered
+        return len(set(zip(*map(np.ndarray.tolist, x), strict=True)) & set(zip(*map(np.ndarray.tolist, y), strict=True)))
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    return int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
+
+
+def _linked(n: int, m: int, common: int) -> bool:
+    return 100 * common >= PERCENT * (n + m - common)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -84,8 +98,10 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SKETCH, np.int64)
         for b in batches:
-            for t in b.column(1).to_pylist():
-                np.add.at(n, (shingles(t) >> np.uint64(48)).astype(np.int64), 1)
+            for part in slices(b, 1):
+                slots = [shingles(t)[0] >> np.uint64(48) for t in part.column(1).to_pylist()]
+                n += np.bincount(np.concatenate(slots).astype(np.int64), minlength=SKETCH)
+        trim()
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
 
@@ -102,30 +118,32 @@ def _slots(s: np.ndarray) -> bytes:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, node (hash of the whole set), grp (hash of size and prefix), prefix (rarest shingles in order), slots (counts) of every row.
+    """doc_id, n, node (128-bit digest of the whole set), grp (of size and prefix), prefix (rarest shingles in order), slots (counts) of every row.
 
-    Of a group only the first row of each task has its prefix, which stands for all.
+    Of a group only the first row of each task has its prefix, which stands for all. grp and the shingles in prefix are the
+    first 64 bits: groups or shingles that met there would only meet more candidates, all of which are verified.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part, rows = b.slice(at, 1000), []
+            for part in slices(b, 1):
+                rows = []
                 for t in part.column(1).to_pylist():
-                    s = shingles(t)
+                    s, s2 = shingles(t)
                     n = len(s)
                     if not n:
                         rows.append((0, None, None, None, None))
                         continue
-                    prefix = s[np.lexsort((s, sketch[(s >> np.uint64(48)).astype(np.int64)]))[: n - (PERCENT * n + 99) // 100 + 1]]
-                    node, group = (xxhash.xxh64_intdigest(x.tobytes(), n) - (1 << 63) for x in (s, prefix))
-                    rows.append((n, node, group, None if group in seen else prefix.view(np.int64), _slots(s)))
+                    first = np.lexsort((s, sketch[(s >> np.uint64(48)).astype(np.int64)]))[: n - (PERCENT * n + 99) // 100 + 1]
+                    node, group = (hashlib.blake2b(b"".join((n.to_bytes(8, "little"), x.tobytes(), y.tobytes())), digest_size=16).digest() for x, y in ((s, s2), (s[first], s2[first])))
+                    rows.append((n, node, int.from_bytes(group[:8], "little", signed=True), None if group in seen else s[first].view(np.int64), _slots(s)))
                     seen.add(group)
                 n, node, group, prefix, slots = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "n", "node", "grp", "prefix", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "n", "node", "grp", "prefix", "slots"])
+        trim()
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, slots binary")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, node binary, grp bigint, prefix array<bigint>, slots binary")
 
 
 def _fits(na, ra, nb, rb):
@@ -173,14 +191,8 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _likely(rows: DataFrame, ids: DataFrame, key: str = "doc_id", room: int = 16) -> DataFrame:
-    """The rows whose key is in ids, and some others: a bitmap of hashes, of room bits for an id and FILTER_BITS bits at
-    most, is broadcast, so that what is not asked for is not shuffled."""
-    bits = min(FILTER_BITS, max(1 << 15, 1 << (room * ids.count()).bit_length()))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    marks = ids.select(at(key).alias("h")).groupBy(F.expr("h div 32768").alias("__part")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("__bits"))
-    own = rows.withColumn("__at", at(key)).withColumn("__part", F.expr("__at div 32768")).join(F.broadcast(marks), "__part")
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast((__at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return own.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*rows.columns)
+    """The rows whose key is in ids, and some others: the rest is not shuffled."""
+    return maybe_in(rows, ids, key, room).filter("maybe").drop("maybe")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -190,18 +202,18 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, np.zeros(0, np.uint64)
+        last, x = None, shingles(None)
         for b in batches:
             links = []
             for one, other, text, text2 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if one != last:  # rows come sorted by a
                     last, x = one, shingles(text.as_py())
                 y = shingles(text2.as_py())
-                if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                        links.append((one, other))
+                n, m = len(x[0]), len(y[0])
+                if 100 * min(n, m) >= PERCENT * max(n, m) and _linked(n, m, in_common(x, y)):
+                    links.append((one, other))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        trim()
 
     def texts(name: str) -> DataFrame:
         some = _likely(_texts(docs), pairs.select(F.col(name).alias("doc_id")).distinct())
@@ -227,15 +239,19 @@ def _other_pairs(postings: DataFrame, long_: DataFrame, members: DataFrame) -> D
     """For the long lists, every pair of members that may link and whose ends are not yet in one component.
 
     Postings of other lists are dropped before any shuffle. Of a list's components the one with most rows is compared with the rows outside it only, so lists that one group
-    of near copies fills give no pairs here. The rows outside are dealt in blocks, which all rows of the list pass by.
+    of near copies fills give no pairs here. The rows outside are dealt in blocks of BLOCK, all rows of the list in blocks
+    of PROBES, and each pair of blocks is a task's unit of work, so that a long list is spread over many.
     """
     own = _likely(postings, long_, "token", 64).join(long_, "token").join(members.select("grp", "node", "root").hint("merge"), "grp")
     own = settle(own.select("token", "node", "n", "rest", "root").distinct())
     counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    lists = settle(counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"), F.expr(f"cast(ceil((k - m.k) / {BLOCK}) as int)").alias("blocks")))
+    lists = settle(counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"), F.expr(f"cast(ceil((k - m.k) / {BLOCK}) as bigint)").alias("blocks"), F.expr(f"cast(ceil(k / {PROBES}) as bigint)").alias("turns")))
     listed = settle(own.join(lists, "token"))
-    few = listed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint"))).withColumn("probe", F.lit(False))
-    probes = listed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("blocks") - 1).cast("bigint")))).withColumn("probe", F.lit(True))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    few = listed.filter("root <> main").withColumn("at", F.pmod(F.xxhash64("node"), "blocks")).withColumn("turn", upto("turns"))
+    few = few.withColumn("block", F.expr("at * turns + turn")).withColumn("probe", F.lit(False))
+    probes = listed.withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "node"), "turns")).withColumn("at", upto("blocks"))
+    probes = probes.withColumn("block", F.expr("at * turns + turn")).withColumn("probe", F.lit(True))
     names = ["token", "block", "probe", "node", "n", "rest", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,39 +314,50 @@ def join(docs: DataFrame) -> DataFrame:
     have no set and are linked with nothing; repeated rows and ties are
     rows of one node; other columns are not read; an empty table gives an empty result.
     """
-    rows = settle(_prefixes(docs, _sketch(docs)))
-    listed = rows.filter(F.col("prefix").isNotNull()).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    found = settle(_first_pairs(listed.repartition("token").sortWithinPartitions("token", F.desc(F.col("rest") / F.col("n")), "grp")))
-    sweep(docs.sparkSession)
-    made, long_ = found.filter(F.col("a").isNotNull()), found.filter(F.col("a").isNull()).select(F.col("b").alias("token"))
-    nodes = settle(rows.filter(F.col("node").isNotNull()).groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id")))
-    groups = settle(nodes.groupBy("grp").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("k")))
-    one = lambda c: groups.select(F.col("grp").alias(c), F.col("one").alias(f"one_{c}")).hint("merge")
-    across = made.join(one("a"), "a").join(one("b"), "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
-    inside = nodes.join(groups.filter("k > 1").hint("merge"), "grp").filter("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
-    first = settle(across.union(inside))
-    links = settle(_verified(docs, _possible(rows, first)))
-    roots = components(links).select(F.col("node").alias("doc_id"), "root")
-    sized = lookup(nodes, groups.select("grp", "k"), "grp")
-    members = settle(sized.join(roots.hint("merge"), "doc_id", "left").select("grp", F.col("doc_id").alias("node"), "k", F.coalesce("root", "doc_id").alias("root")))
-    others = _apart(made, members)
-    if long_.head(1):
-        others = others.union(_other_pairs(listed, long_, members))
-    others = settle(others.distinct().join(first, ["a", "b"], "left_anti"))
-    if others.head(1):
-        links = settle(links.union(_verified(docs, _possible(rows, others))))
+    with steps() as kept:
+        rows = settle(_prefixes(docs, _sketch(docs)))
+        listed = rows.filter(F.col("prefix").isNotNull()).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", "n", (F.col("n") - F.col("pos")).alias("rest"))
+        found = settle(_first_pairs(listed.repartition("token").sortWithinPartitions("token", F.desc(F.col("rest") / F.col("n")), "grp")))
+        sweep(docs.sparkSession)
+        made, long_ = found.filter(F.col("a").isNotNull()), found.filter(F.col("a").isNull()).select(F.col("b").alias("token"))
+        nodes = settle(rows.filter(F.col("node").isNotNull()).groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id")))
+        groups = settle(nodes.groupBy("grp").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("k")))
+        one = lambda c: groups.select(F.col("grp").alias(c), F.col("one").alias(f"one_{c}")).hint("merge")
+        across = made.join(one("a"), "a").join(one("b"), "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
+        inside = nodes.join(groups.filter("k > 1").hint("merge"), "grp").filter("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
+        first = settle(across.union(inside))
+        links = settle(_verified(docs, _possible(rows, first)))
         roots = components(links).select(F.col("node").alias("doc_id"), "root")
-    by_node = settle(nodes.join(roots.hint("merge"), "doc_id", "left").select("node", F.coalesce("root", "doc_id").alias("component_id")))
-    release(found)
-    full = lookup(rows.select("doc_id", "n", "node").filter(F.col("node").isNotNull()), by_node, "node")
-    bare = rows.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(bare)
+        sized = lookup(nodes, groups.select("grp", "k"), "grp")
+        members = settle(sized.join(roots.hint("merge"), "doc_id", "left").select("grp", F.col("doc_id").alias("node"), "k", F.coalesce("root", "doc_id").alias("root")))
+        others = _apart(made, members)
+        if long_.head(1):
+            others = others.union(_other_pairs(listed, long_, members))
+        others = settle(others.distinct().join(first, ["a", "b"], "left_anti"))
+        if others.head(1):
+            links = settle(links.union(_verified(docs, _possible(rows, others))))
+            roots = components(links).select(F.col("node").alias("doc_id"), "root")
+        by_node = settle(nodes.join(roots.hint("merge"), "doc_id", "left").select("node", F.coalesce("root", "doc_id").alias("component_id")))
+        kept += [rows, by_node]
+        full = lookup(rows.select("doc_id", "n", "node").filter(F.col("node").isNotNull()), by_node, "node")
+        bare = rows.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(bare)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of their component; rows without doc_id stay."""
-    stay = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("bigint") == stay["__id"], "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    """The rows of docs, with all their columns, whose doc_id is the smallest of their component; rows without doc_id stay.
+
+    Rows with null or empty texts are linked with nothing and stay; rows that repeat a doc_id stay or go together; an
+    empty table gives an empty result. Rows that surely stay, by a bitmap of those that go, are not shuffled.
+    """
+    with steps() as kept:
+        whose = join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+        gone = settle(whose.filter("not stays").select(F.col("doc_id").alias("id")))
+        kept.append(gone)
+    rows = maybe_in(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id")), gone, "id")
+    sure = rows.filter(~F.coalesce("maybe", F.lit(False)))
+    rest = rows.filter("maybe").join(gone.hint("merge"), "id", "left_anti")
+    return sure.select("row.*").unionByName(rest.select("row.*"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

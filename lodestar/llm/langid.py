@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import settle
+from lodestar.llm._shared import settle, slices, steps, trim
 
 #: N-grams of 1 to 3 letters; length of a language's profile and of a document's; documents a language is learned from.
 PROFILE, DOC_PROFILE, TRAIN_DOCS = 1000, 300, 3000
 #: Languages whose rates (a row each) are broadcast; beyond it rows meet them by a sort-merge join.
 FEW_LANGS = 10_000
+#: Marks of longer n-grams' codes, above any letter's bits: a blank counts 0, so `" t"` would else be `"t"`.
+TWO, THREE = 1 << 60, 1 << 61
 
 
 @functools.cache
@@ -29,8 +31,8 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     a = np.zeros(len(raw) + 2, dtype=np.int64)
     a[1:-1] = np.where(_letters()[raw], raw, 0)
     a = a[np.concatenate(([True], (a[1:] != 0) | (a[:-1] != 0)))]
-    one, two = a[a != 0], (a[:-1] << 21) | a[1:]
-    three = (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
+    one, two = a[a != 0], TWO | (a[:-1] << 21) | a[1:]
+    three = THREE | (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
     codes = np.concatenate((one, two[(a[:-1] != 0) | (a[1:] != 0)], three[a[1:-1] != 0])) if len(one) else one
     codes.sort()
     if not len(codes):
@@ -51,16 +53,22 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, size: int = PROFILE) -> d
     texts, taken by a hash of doc_id. At most `size` codes per language reach the driver.
     """
     known = docs.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    with steps():
+        return _profiles(known, max_docs, size)
+
+
+def _profiles(known: DataFrame, max_docs: int, size: int) -> dict[str, list[int]]:
     rate = settle(known.groupBy("lang").agg((F.lit(max_docs) / F.count(F.lit(1))).alias("rate")))
     rate = F.broadcast(rate) if rate.count() <= FEW_LANGS else rate.hint("merge")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003)
     sample = known.join(rate, "lang").filter(share < F.col("rate")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 codes, counts = ngram_counts(text)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "code", "n"])
+        trim()
 
     grams = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -100,9 +108,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
         for lang, codes in sorted(profiles.items()):
             order = np.argsort(codes)
             ready.append((lang, np.asarray(codes, np.int64)[order], order))
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             got = [identify(t, ready, longest) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 

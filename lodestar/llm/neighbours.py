@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from lodestar.llm._shared import release, settle, sweep
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
-#: Rows the partitions are learned from at most; rows a partition is planned for; fewest and most partitions.
-SAMPLE, CELL_ROWS, CELLS = 8192, 1000, (8, 256)
+#: Rows the partitions are learned from: so many for each partition, and at least. Rows a partition is planned for up to
+#: CELLS[1] partitions; more rows make partitions larger, as one classifier must know them all. Fewest and most partitions.
+SAMPLE, CELL_SAMPLE, CELL_ROWS, CELLS = 8192, 32, 200, (32, 2048)
 #: Neighbours of a graph node; hidden units; share of a sample row's neighbours that routing must reach.
-GRAPH, HIDDEN, AIM = 12, 128, 0.985
+GRAPH, HIDDEN, AIM = 12, 128, 0.94
 #: Candidates and queries that meet in one group, at most or so.
 BLOCK, QUERIES = 2048, 512
+#: Rows classified at a time.
+STRETCH = 512
 
 
 @dataclass
@@ -35,6 +38,11 @@ class Router:
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def best(self, x: np.ndarray) -> np.ndarray:
+        """The most probable partition of each row, a stretch of rows at a time."""
+        parts = [np.argmax(self.logits(x[at : at + STRETCH]), axis=1) for at in range(0, len(x), STRETCH)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
 
 def _graph(x: np.ndarray, k: int) -> np.ndarray:
     out, x = [], x.astype(np.float32)
@@ -86,7 +94,8 @@ def fit(x: np.ndarray, cells: int, seed: int = 5) -> Router:
         return Router(*hidden, 1)
     graph = _graph(x, min(GRAPH, len(x) - 1))
     label = balanced_partition(x, graph, cells, rng)
-    soft = np.eye(cells)[label] * GRAPH / 2
+    soft = np.zeros((len(x), cells), np.float32)
+    soft[np.arange(len(x)), label] = GRAPH / 2
     for j in range(graph.shape[1]):
         soft[np.arange(len(x)), label[graph[:, j]]] += 1
     soft /= soft.sum(axis=1, keepdims=True)
@@ -105,10 +114,13 @@ def fit(x: np.ndarray, cells: int, seed: int = 5) -> Router:
                 second[k] = 0.999 * second[k] + 0.001 * d * d
                 w[k] = w[k] - 3e-3 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     router = Router(*w, cells)
-    order = np.argsort(-router.logits(x), axis=1, kind="stable")
-    place = np.argsort(order, axis=1)  # of each partition among a row's most probable ones
-    near = _graph(x, min(NEIGHBOURS, len(x) - 1))
-    needed = place[np.arange(len(x))[:, None], order[:, 0][near]]
+    del soft
+    near, own = _graph(x, min(NEIGHBOURS, len(x) - 1)), router.best(x)
+    needed = np.zeros(near.shape, np.int32)  # place of a neighbour's partition among a row's most probable ones
+    for at in range(0, len(x), STRETCH):
+        z = router.logits(x[at : at + STRETCH])
+        for j in range(near.shape[1]):
+            needed[at : at + STRETCH, j] = (z > z[np.arange(len(z)), own[near[at : at + STRETCH, j]]][:, None]).sum(axis=1)
     router.probes = next((m for m in range(1, cells) if (needed < m).mean() >= AIM), cells)
     return router
 
@@ -140,7 +152,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     lies in the partition the router finds most probable, and groups of about BLOCK candidates are searched apart. Of
     equal vectors the k + 1 least ids are enough for any answer and are what is compared. A group passes on only what reaches
     the k-th best of the sample's rows in the query's partitions, below which no result lies. Repeated rows are candidates
-    each; fewer than k candidates are all returned; without any there are no rows.
+    each; fewer than k candidates are all returned; without any there are no rows. The result's attribute `searched` says
+    how many partitions are searched for a query, and of how many. Other columns are not read.
     """
     spark = vectors.sparkSession
 
@@ -162,66 +175,91 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     firsts = fewer.filter("place = 1").select("vec_id", "v")
     rows = firsts.count()
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003))
-    sample = firsts.filter(share < F.lit(1.2 * SAMPLE / rows * 1_000_003)).limit(SAMPLE).toArrow()
-    sample = sample if len(sample) else firsts.limit(1).toArrow()
-    known, known_ids = _rows(sample), sample.column("vec_id").to_numpy()
-    order = np.lexsort(known.T)
-    known, known_ids = known[order], known_ids[order]
     cells = int(np.clip(2 ** round(np.log2(max(1, rows / CELL_ROWS))), *CELLS))
-    router = fit(known, cells)
-    known_cells = np.argmax(router.logits(known), axis=1)
+    most = max(SAMPLE, CELL_SAMPLE * cells)
+
+    def some(df: DataFrame) -> pa.Table:
+        """At most `most` rows, the same at any run."""
+        few = df.filter(share < F.lit(1.2 * most / rows * 1_000_003))
+        return few.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(most).toArrow()
+
+    sample = some(firsts)
+    known = _rows(sample if len(sample) else firsts.orderBy("vec_id").limit(1).toArrow())
+    router = fit(known[np.lexsort(known.T)], cells)
+    del sample, known
     sweep(spark)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.argmax(router.logits(_rows(b)), axis=1) if b.num_rows else [], pa.int32())], ["vec_id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(router.best(_rows(b)) if b.num_rows else [], pa.int32())], ["vec_id", "v", "cell"])
 
     index = settle(fewer.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v array<double>, cell int"))
     release(fewer)
+    sample = some(index)  # with the partitions that the index gave them: where a query searches, these rows are
+    known, known_ids, known_cells = _rows(sample), sample.column("vec_id").to_numpy(), sample.column("cell").to_numpy()
     sweep(spark)
     held = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
     count = np.array([held.get(c, 0) for c in range(len(router.b2))])
 
+    # partitions stand in bundles of about BLOCK candidates, so that a query moves once for many small ones; a larger
+    # partition is a bundle whose candidates lie in blocks
+    bundle = np.zeros(len(count), np.int32)
+    full = 0
+    for c in range(1, len(count)):
+        full += count[c - 1]
+        bundle[c] = bundle[c - 1] if full + count[c] <= BLOCK else c
+        full = full if bundle[c] == bundle[c - 1] else 0
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(at, STRETCH) for whole in batches for at in range(0, whole.num_rows, STRETCH)):
             x = _rows(b)
             order = np.argsort(-router.logits(x), axis=1, kind="stable")
             reached = np.cumsum(count[order], axis=1) - count[order]  # candidates in more probable partitions
             use = (np.arange(order.shape[1]) < router.probes) | (reached <= 2 * k)
-            cells = [o[u & (count[o] > 0)] for o, u in zip(order, use, strict=True)]
             searched = np.zeros(use.shape, bool)
             np.put_along_axis(searched, order, use, axis=1)
+            searched &= count > 0
             floors = _floors(x, b.column(0).to_numpy(), searched, known, known_ids, known_cells, k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floors), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "least", "cells"])
-
-    routed = settle(asked.mapInArrow(route, "query_id bigint, v array<double>, least double, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells"))
-    asks = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
+            who, cells = np.nonzero(searched)
+            new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (bundle[cells[1:]] != bundle[cells[:-1]]))))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(cells)), pa.int32()), pa.array(cells, pa.int32()))
+            asks = b.take(pa.array(who[new]))
+            yield pa.RecordBatch.from_arrays([asks.column(0), asks.column(1), pa.array(floors[who[new]]), pa.array(bundle[cells[new]], pa.int32()), lists], ["query_id", "v", "least", "bundle", "cells"])
+
+    routed = settle(asked.mapInArrow(route, "query_id bigint, v array<double>, least double, bundle int, cells array<int>"))
+    asks = {r.bundle: r["count"] for r in routed.groupBy("bundle").count().collect()}
     sweep(spark)
-    # a partition's candidates lie in `b` blocks and its queries in `q`; each pair of blocks is a group
-    plan = spark.createDataFrame([(int(c), -(-int(n) // BLOCK), -(-asks.get(c, 0) // QUERIES)) for c, n in held.items()], "cell int, b int, q int")
+    # a bundle's candidates lie in `b` blocks and its queries in `q`; each pair of blocks is a group
+    many = {int(c): -(-int(count[bundle == c].sum()) // BLOCK) for c in set(bundle.tolist())}
+    plan = spark.createDataFrame([(c, int(bundle[c]), max(1, many[int(bundle[c])]), -(-asks.get(int(bundle[c]), 0) // QUERIES)) for c in range(len(count))], "cell int, bundle int, b int, q int")
+    by_bundle = plan.select("bundle", "b", "q").distinct()
     salt = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.col(n)).cast("int")
-    left = index.join(F.broadcast(plan), "cell").filter("q > 0").select("cell", salt("vec_id", "b").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), "vec_id", "v")
-    right = routed.join(F.broadcast(plan), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"), salt("query_id", "q").alias("qb"), "query_id", "v", "least")
+    left = index.join(F.broadcast(plan), "cell").filter("q > 0").select("bundle", salt("vec_id", "b").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), "vec_id", "v", "cell")
+    right = routed.join(F.broadcast(by_bundle), "bundle").select("bundle", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"), salt("query_id", "q").alias("qb"), "query_id", "v", "least", "cells")
 
     def rerank(cand: pa.Table, ask: pa.Table) -> pa.Table:
         none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
         if not len(cand) or not len(ask):
             return none
-        c, q = _rows(cand), _rows(ask)
-        ids, asked_ids, least = (t.column(n).to_numpy() for t, n in ((cand, "vec_id"), (ask, "query_id"), (ask, "least")))
-        distinct, own = np.unique(c, axis=0, return_inverse=True)
-        own = own.ravel()
+        q, ids, asked_ids, least = _rows(ask), *(t.column(n).to_numpy() for t, n in ((cand, "vec_id"), (ask, "query_id"), (ask, "least")))
+        both, own = np.unique(np.concatenate((cand.column("cell").to_numpy()[:, None], _rows(cand)), axis=1), axis=0, return_inverse=True)
+        own, cell, distinct = own.ravel(), both[:, 0], both[:, 1:]
         order = np.lexsort((ids, own))
         first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
         groups = [g[: k + 1] for g in np.split(ids[order], first[1:])]  # equal vectors: the least ids come first
-        rough = q @ distinct.T
+        lists = ask.column("cells").combine_chunks()
+        whose = np.repeat(np.arange(len(ask)), lists.value_lengths().to_numpy())
+        wanted = lists.flatten().to_numpy()
+        rough = np.full((len(q), len(distinct)), -np.inf)
+        for c in np.unique(cell):  # only queries that search a partition meet its candidates
+            at, who = np.flatnonzero(cell == c), whose[wanted == c]
+            rough[who[:, None], at] = q[who] @ distinct[at].T
         reach = min(k + 1, len(distinct))
         floor = -np.partition(-rough, reach - 1, axis=1)[:, reach - 1]
+        floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.finfo(float).max)
         out = []
         for i, query in enumerate(asked_ids):
-            at = np.flatnonzero(rough[i] >= max(least[i], floor[i] - 1e-9 * (1 + abs(floor[i]))))
+            at = np.flatnonzero(rough[i] >= max(least[i], floor[i]))
             if not len(at):
                 continue
             exact = (distinct[at] * q[i]).sum(axis=1)
@@ -232,10 +270,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
             out.append((np.full(len(best), query), who[best], score[best]))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], none.column_names) if out else none
 
-    key = ["cell", "cb", "qb"]
+    key = ["bundle", "cb", "qb"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out.searched = router.probes, len(count)  # partitions searched for a query, of how many
+    return out
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import array
 import base64
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,30 +15,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import settle
+from lodestar.llm._shared import settle, slices, trim
 
 SEQUENCE, END_ID, DIMS, BITS, HASHED = 2048, 1, 3, 10, 512
-#: Entries kept of a worker's table of encoded chunks, and the longest chunk kept there.
-CACHE, CACHED_CHARS = 800_000, 40
+#: Bytes kept of a worker's table of encoded chunks (an entry takes its ids and chunk and about 150), and the longest chunk kept there.
+CACHE, CACHED_CHARS = 48 << 20, 40
+#: Bytes of ids that one range of the curve should hold at most or so.
+RANGE_BYTES = 32 << 20
+#: A blank beside other white space, which the tokenizer's pattern takes together with it.
+_WIDE = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
 
 
 class Encoder:
     """Ids of the byte-level BPE: its fast implementation with a table of known chunks, the reference one for special strings.
 
-    A boundary between a non-blank and a single blank is one for the tokenizer too, so texts without double
-    blanks are encoded chunk by chunk.
+    A blank between two characters that aren't white space begins a piece of the tokenizer's pattern. Texts with no other
+    blanks are encoded chunk by chunk; a run of white space that holds a blank may be one piece, so other texts are encoded whole.
     """
 
     def __init__(self, full_file: str, ranks_file: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.full, self.known = Tokenizer.from_file(full_file), {}
+        self.known: dict[str, bytes] = {}
+        self.held, self.full_file = 0, full_file
         self.line_feed = self.fast.encode_ordinary("\n")[0]
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        with open(full_file, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @functools.cached_property
+    def full(self):
+        """The reference implementation, which most workers never need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.full_file)
 
     def _ids(self, text: str) -> bytes:
         return array.array("H", self.fast.encode_ordinary(text)).tobytes()
@@ -52,8 +66,10 @@ class Encoder:
             got.update((c, raw[i + 2 : j]) for c, i, j in zip(plain, at, at[1:], strict=False))
         else:
             got.update((c, self._ids(f" {c}")) for c in plain)
-        if len(self.known) < CACHE:
-            self.known.update((c, x) for c, x in got.items() if len(c) <= CACHED_CHARS)
+        if self.held < CACHE:
+            new = {c: x for c, x in got.items() if len(c) <= CACHED_CHARS}
+            self.known.update(new)
+            self.held += sum(150 + len(c) + len(x) for c, x in new.items())
         return got
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -62,7 +78,7 @@ class Encoder:
         for text in texts:
             if any(s in text for s in self.special):
                 out.append(array.array("H", self.full.encode(text, add_special_tokens=False).ids).tobytes())
-            elif "  " in text:
+            elif _WIDE.search(text):
                 out.append(self._ids(text))
             else:
                 first, *rest = text.split(" ")
@@ -115,8 +131,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in slices(b, 1, 500):
                 ids = [x + b"\1\0" for x in enc.encode_batch([t or "" for t in part.column(1).to_pylist()])]
                 hashed = np.zeros((len(ids), HASHED), np.float32)
                 for i, x in enumerate(ids):
@@ -124,13 +139,14 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     hashed[i] = np.sqrt(np.bincount(slot, minlength=HASHED))
                 p = (hashed / np.linalg.norm(hashed, axis=1, keepdims=True)) @ axes
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *(pa.array(p[:, k].astype(float)) for k in range(DIMS))], ["doc_id", "ids", *(f"p{k}" for k in range(DIMS))])
+        trim()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids binary, " + ", ".join(f"p{k} double" for k in range(DIMS)))
 
 
-def curve_key(coded: DataFrame) -> Column:
-    """Hilbert key of p0, p1, p2, each scaled between its 1st and 99th percentile over all rows."""
-    ends = coded.agg(*(F.percentile_approx(f"p{k}", [0.01, 0.99], 1000).alias(f"p{k}") for k in range(DIMS))).first()
+def curve_key(coded: DataFrame) -> tuple[Column, int]:
+    """Hilbert key of p0, p1, p2, each scaled between its 1st and 99th percentile over all rows; bytes of all ids."""
+    *ends, size = coded.agg(*(F.percentile_approx(f"p{k}", [0.01, 0.99], 1000).alias(f"p{k}") for k in range(DIMS)), F.sum(F.length("ids"))).first()
     ends = [tuple(e) if e else (0.0, 1.0) for e in ends]
 
     @F.pandas_udf("bigint")
@@ -140,13 +156,14 @@ def curve_key(coded: DataFrame) -> Column:
         scaled = [np.clip((c.to_numpy() - lo) / max(hi - lo, 1e-9), 0, 1) * ((1 << BITS) - 1) for c, (lo, hi) in zip(cols, ends, strict=True)]
         return pd.Series(hilbert(np.stack(scaled, axis=1).astype(np.int64)))
 
-    return key(*(F.col(f"p{k}") for k in range(DIMS)))
+    return key(*(F.col(f"p{k}") for k in range(DIMS))), size or 0
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text), tokenized whole, in sequences of at most `length` (a power of two).
 
-    Rows are range-sorted by the Hilbert key of their projected vector (ties by a hash of the ids, then doc_id). Each
+    Rows are range-sorted by the Hilbert key of their projected vector (ties by a hash of doc_id and length, then doc_id), in
+    as many ranges as shuffle partitions, or as keep a range near RANGE_BYTES. Each
     range's ids, in that order, fill sequences of `length`; what is left at a range's end fills sequences of lesser
     powers of two, so nothing is padded. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ids (array) if with_ids. Null and empty texts are the end id alone; a row that repeats another is packed too;
@@ -154,9 +171,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", length: int = SEQUENC
     """
     spark = docs.sparkSession
     coded = settle(encode(docs, tokenizer))
-    tie = F.xxhash64("doc_id", F.length("ids"))
-    keyed = coded.select("doc_id", "ids", curve_key(coded).alias("curve"), tie.alias("tie"))
-    ranges = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "curve", "tie", "doc_id").sortWithinPartitions("curve", "tie", "doc_id", F.crc32("ids"))
+    tie, (curve, size) = F.xxhash64("doc_id", F.length("ids")), curve_key(coded)
+    keyed = coded.select("doc_id", "ids", curve.alias("curve"), tie.alias("tie"))
+    ranges = keyed.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)), "curve", "tie", "doc_id").sortWithinPartitions("curve", "tie", "doc_id", F.crc32("ids"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

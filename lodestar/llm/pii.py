@@ -31,8 +31,11 @@ BASE = ("email", "ip", "card", "phone")
 #: Score without context, words that raise it, and the score that an added span needs (base spans always stay).
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "national": 0.2}
 CONTEXT = {
-    "email": "mail|contact|write", "ip": r"\bip\b|address|host|server", "card": "card|visa|master|amex|credit|debit|payment", "phone": "phone|tel|call|mobile|fax",
-    "iban": "iban|account|bank|transfer", "national": r"\bssn\b|social|security|national|identity",
+    "email": "mail|contact|write|kontakt|schreib|courriel|correo|écri|escrib", "ip": r"\bip\b|address|host|server|adresse|dirección|serveur|servidor",
+    "card": "card|visa|master|amex|credit|debit|payment|karte|zahlung|carte|paiement|tarjeta|pago",
+    "phone": "phone|tel|call|mobile|fax|ruf|handy|appel|portable|llama|móvil",
+    "iban": "iban|account|bank|transfer|konto|überweis|compte|banque|virement|cuenta|banco",
+    "national": r"\bssn\b|social|security|national|identity|sozial|ausweis|identité|sécurité|seguridad|identidad",
 }
 CONTEXT_GAIN, KEEP_AT, CONTEXT_SPAN = 0.4, 0.5, 40
 
@@ -103,15 +106,16 @@ def findings(text: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and `findings` of every row's whole text. Null and empty texts have none; rows are neither merged nor dropped."""
+    """doc_id and `findings` of every row's whole text, however long. Null and empty texts have none; rows are neither merged
+    nor dropped, repeated ones scanned each; other columns are not read; an empty table gives an empty result."""
     return docs.select("doc_id", findings(F.col("text")).alias("findings"))
 
 
 def digest_columns(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """Counts per base kind, the hash of the base spans and all spans, from (doc_id, findings)."""
+    """Counts per base kind, the hash of the base spans, all spans and their scores, from (doc_id, findings)."""
     own = F.filter("findings", lambda s: s["kind"].isin(*base))
     counts = [F.size(F.filter("findings", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"), F.transform(F.array_sort("findings"), lambda s: F.round(s["score"], 6)).alias("scores"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,24 +8,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import release, settle
+from lodestar.llm._shared import release, settle, slices, trim
 
 #: Labelled rows learned from, at most about so many. All other rows are the pool the views label for each other.
 LABELLED = 4000
-#: Rounds of exchange, share of the pool that a view hands over in each, slots of hashed byte triples, slots of the other view.
-ROUNDS, HANDED, SLOTS, META = 5, 0.05, 512, 44
+#: Rounds of exchange, share of the pool that a view hands over in each, slots of hashed byte triples.
+ROUNDS, HANDED, SLOTS = 5, 0.05, 512
+#: Slots of the other view: sources, languages, sizes in quarters of a doubling, the size itself.
+SOURCES, LANGS, SIZES = 24, 8, 80
+META = SOURCES + LANGS + SIZES + 1
+#: Sums of one size that one task adds up.
+FAN = 32
 #: Weight of a pseudo-label; in a pool of more than LABELLED rows so much less that all together weigh the same.
 PSEUDO = 0.3
 #: Steps of a score that are told apart when a view's surest rows are sought, and the greatest score so counted.
 STEPS, FAR = 128, 32
 ACCEPT_AT = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_KIND = np.zeros(256, np.int64)
-for _k, _chars in enumerate((b" ", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(97, 123)) + bytes(range(128, 256)), b".,;:?'-\"()"), 1):
-    _KIND[np.frombuffer(_chars, np.uint8)] = _k
 
 
 def triples(text: str | None) -> np.ndarray:
@@ -42,20 +44,15 @@ def text_view(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def meta_view(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """How the page comes: its source and language, its size and its layout (shares of kinds of characters, lines)."""
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """What is known of a page beside its text: source, language and stated size; nulls are values of their own (size: none)."""
     v = np.zeros(META, np.float32)
-    v[zlib.crc32((source or "\0").encode()) % 24] = 1
-    v[24 + zlib.crc32((lang or "\0").encode()) % 8] = 1
-    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    kinds = np.bincount(_KIND[b], minlength=7) / max(1, len(b))
-    lines = (text or "").split("\n")
-    v[32:39] = kinds * 3
-    v[39] = np.log1p(max(0, n_chars if n_chars is not None else len(text or ""))) / 10
-    v[40] = np.log1p(len(lines)) / 5
-    v[41] = len(set(lines)) / len(lines)
-    v[42] = np.log1p(len(b) / max(1, (b == 32).sum() + len(lines))) / 3
-    v[43] = 1
+    v[zlib.crc32((source or "\0").encode("utf-8", "replace")) % SOURCES] = 1
+    v[SOURCES + zlib.crc32((lang or "\0").encode("utf-8", "replace")) % LANGS] = 1
+    if n_chars is not None:
+        size = np.log2(1 + max(0, n_chars))
+        v[SOURCES + LANGS + min(int(4 * size), SIZES - 1)] = 1
+        v[-1] = size / 20
     return v
 
 
@@ -93,6 +90,7 @@ class Model:
     pool: int = 0  # unlabelled rows that were scored in every round
     given: tuple[int, int] = (0, 0)  # of them, rows that the text and the metadata view have been taught
     rounds: tuple = ()  # what `taught` needs to give the same pseudo-labels again
+    prior: float = 0.0  # log odds of acceptance among the rows that calibrate
 
     def logits(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(_score(x, w) * s[0] + s[1] for x, w, s in zip((text, meta), self.views, self.scale, strict=True))
@@ -120,17 +118,26 @@ def taught(x: tuple[np.ndarray, np.ndarray], rounds: list) -> tuple[np.ndarray,
 def _total(pool: DataFrame, part) -> np.ndarray | float:
     """Sum over all rows of pool of part(views), an array of one size whatever the number of rows; 0 without rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                got = part(_unpacked(b))
-                total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
+    def added(of, column):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for one in slices(b, column, 2000):
+                    got = of(one)
+                    total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
+            trim()
 
-    add = lambda a, b: a + b
-    return pool.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r[0])).treeAggregate(0.0, add, add)
+        return run
+
+    sums = lambda b: np.sum([np.frombuffer(r) for r in b.column(0).to_pylist()], axis=0)
+    width = pool.rdd.getNumPartitions()
+    out = pool.mapInArrow(added(lambda b: part(_unpacked(b)), 0), "sums binary")
+    while width > FAN:  # a task adds up FAN sums or so, so that a few reach the driver whatever the number of tasks
+        width = -(-width // FAN)
+        out = out.repartition(width).mapInArrow(added(sums, 0), "sums binary")
+    return sum((np.frombuffer(r[0]) for r in out.toLocalIterator()), 0.0)
 
 
 def _cuts(free: np.ndarray, n_up: int, n_down: int) -> tuple[int, int]:
@@ -199,7 +206,8 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFrame
                 break
     use = held if held.any() else ~held
     scale = tuple(fit_logistic(_score(v[use], x)[:, None], y[use]) for v, x in zip(views, w, strict=True))
-    return Model(w, scale, size, given, tuple(rounds))
+    odds = y[use].mean() / (1 - y[use].mean())
+    return Model(w, scale, size, given, tuple(rounds), float(np.log(odds)))
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -215,10 +223,10 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(columns: list[list]) -> tuple[np.ndarray, np.ndarray]:
-    """Triples' counts of texts, and their metadata view."""
-    texts, langs, sources, sizes = columns
+    """Triples' counts of texts, and the metadata view of what else is known of them."""
+    texts, *known = columns
     counts = np.array([triples(t) for t in texts], np.int64).reshape(len(texts), SLOTS)
-    return counts, np.array([meta_view(*x) for x in zip(texts, langs, sources, sizes, strict=True)], np.float32).reshape(len(texts), META)
+    return counts, np.array([meta_view(*x) for x in zip(*known, strict=True)], np.float32).reshape(len(texts), META)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -233,9 +241,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             counts, meta = _features([b.column(k).to_pylist() for k in range(1, 5)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([_packed(c) for c in counts], pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], ["doc_id", "y", "triples", "meta"])
+        trim()
 
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
@@ -252,38 +261,55 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
-def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if model is None or not b.num_rows:
-        return tuple(np.full(b.num_rows, 0.5) for _ in range(3))
-    counts, meta = _features([b.column(b.schema.get_field_index(c)).to_pylist() for c in COLUMNS[1:]])
-    text, meta = model.logits(text_view(counts), meta)
-    odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return odds(text), odds(meta), odds((text + meta) / 2)
+def _odds(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, text_score, meta_score, quality_score (0 to 1), accepted (at least 0.5) of every row of docs.
+def _judged(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array, model: Model | None) -> list[np.ndarray]:
+    """Scores by text, by metadata and by both, of rows of at most a few MB.
 
-    Whole texts are read. Nulls count as empty text, a language or source of their own, and the text's own length. Equal
-    rows get equal scores. Without a model every score is 0.5. An empty table gives an empty result.
+    Views that are independent given the class, as co-training supposes, add up in log odds, the prior counted once.
     """
+    if model is None:
+        return [np.full(len(texts), 0.5)] * 3
+    counts, meta = _features([x.to_pylist() for x in (texts, langs, sources, sizes)])
+    by_text, by_meta = model.logits(text_view(counts), meta)
+    return [_odds(by_text), _odds(by_meta), _odds(by_text + by_meta - model.prior)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = _judged(b, model)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, got), pa.array(got[2] >= ACCEPT_AT)], ["doc_id", "text_score", "meta_score", "quality_score", "accepted"])
 
-    return _plain(docs).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, quality_score double, accepted boolean")
+def _judge(model: Model | None) -> Column:
+    """text_score, meta_score and quality_score of a row as a struct; only the four columns read go to Python."""
 
+    @F.arrow_udf("struct<text_score:double,meta_score:double,quality_score:double>")
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            whole = pa.RecordBatch.from_arrays(list(columns), ["text", "lang", "source", "n_chars"])
+            got = [_judged(*b.columns, model) for b in slices(whole, 0)]
+            parts = [np.concatenate([g[k] for g in got]) if got else np.zeros(0) for k in range(3)]
+            yield pa.StructArray.from_arrays([pa.array(p) for p in parts], ["text_score", "meta_score", "quality_score"])
+        trim()
 
-def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that `score` accepts, with all their columns."""
+    return judge(*(F.col(c).cast("string") for c in COLUMNS[1:4]), F.col("n_chars").cast("bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_judged(b, model)[2] >= ACCEPT_AT))
 
-    return docs.mapInArrow(run, docs.schema)
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, text_score, meta_score, quality_score (0 to 1), accepted (at least 0.5) of every row of docs.
+
+    Whole texts are read. Nulls count as empty text, a language or source of their own, and no stated size. Equal rows get
+    equal scores, repeated rows one each. Without a model every score is 0.5. Other columns are not read; an empty table
+    gives an empty result. docs needs the columns of COLUMNS.
+    """
+    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _judge(model).alias("got"))
+    return got.select("doc_id", "got.*", (F.col("got.quality_score") >= ACCEPT_AT).alias("accepted"))
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that `score` accepts, with all their columns, also rows with nulls, repeated ones and those of equal score.
+
+    Rows stay in the JVM, whatever other columns they have; the four columns read alone go to Python. Without a model all
+    rows stay; of an empty table none.
+    """
+    return docs.filter(_judge(model)["quality_score"] >= ACCEPT_AT)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodestar.llm._shared import spans_of
 from lodestar.llm.pii import digest_columns
 
-ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
+_VALUE = "[A-Za-z0-9+/_.=-]++"
+ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""" + _VALUE
 VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 #: Runs of at least 18 and 16 characters; shorter runs fail whole, so that they need not be matched first.
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
@@ -18,8 +19,10 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 BASE = ("assign", "access", "hex")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: Log-likelihood ratio per transition from which a token counts as random; rows of either class to train on.
+#: Log-likelihood ratio per transition from which a token counts as random, where none was fitted; rows and documents to train on.
 LLR_AT, TRAIN_ROWS, TRAIN_DOCS = 0.5, 4000, 2000
+#: Every so many labelled tokens by hash only set the threshold; steps of a ratio that are told apart; weight of a false alarm.
+HELD, STEP, ALARM = 4, 0.05, 20.0
 
 
 def random_strings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
@@ -29,10 +32,22 @@ def random_strings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
     return spark.range(n).select(F.when(F.col("id") % 2 == 0, as_base64).otherwise(F.translate(F.conv(F.substring(d, 1, 15), 16, 36), "ABCDEFGHIJ", "abcdefghij")).alias("token"), F.lit(1).alias("label"))
 
 
+def _sample(docs: DataFrame, max_docs: int) -> DataFrame:
+    rows = max(1, docs.count())
+    return docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(max_docs / rows * 1_000_003))
+
+
+def planted(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
+    """What the base patterns find in a bounded sample of documents (by hash of doc_id) that mixes letters and digits, label 1."""
+    t = F.coalesce("text", F.lit(""))
+    values = F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(k)) for p, k in ((ASSIGN[:-len(_VALUE)] + f"({_VALUE})", 1), (ACCESS, 0), (HEX, 0))))
+    found = _sample(docs, max_docs).select(F.explode(values).alias("token"))
+    return found.filter((F.length("token") >= 12) & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")).withColumn("label", F.lit(1))
+
+
 def identifiers(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
     """Ordinary words of a bounded sample of documents (taken by hash of doc_id), alone and as snake_case pairs with a number."""
-    rows = max(1, docs.count())
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(max_docs / rows * 1_000_003))
+    sample = _sample(docs, max_docs)
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), lambda w: F.length(w) >= 3)
     numbered = F.transform(words, lambda w, i: F.concat(w, F.lit("_"), F.lower(w), (i % 100).cast("string")))
     return sample.select(F.explode(F.concat(words, numbered)).alias("token"), F.lit(0).alias("label"))
@@ -63,6 +78,24 @@ def llr(token: Column, model: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
+def threshold(held: DataFrame, model: list[float]) -> float:
+    """The ratio from which held-out tokens (token, label), of the length and mix a candidate has, best count as random.
+
+    Best is the greatest share of random tokens found less ALARM times the share of ordinary ones, the middle of all steps
+    that are as good; LLR_AT without both classes. Counts by step of STEP are all that reaches the driver.
+    """
+    ratio = held.filter(F.length("token") >= 2).select("label", F.floor(llr(F.col("token"), model) / STEP).cast("int").alias("at"))
+    rows = ratio.groupBy("label", "at").count().collect()
+    total = {k: sum(r["count"] for r in rows if r.label == k) for k in (0, 1)}
+    if not total[0] or not total[1]:
+        return LLR_AT
+    share = lambda k, at: sum(r["count"] for r in rows if r.label == k and r["at"] >= at) / total[k]
+    places = range(min(r["at"] for r in rows), max(r["at"] for r in rows) + 2)
+    worth = {at: share(1, at) - ALARM * share(0, at) for at in places}
+    best = [at for at in places if worth[at] >= max(worth.values()) - 1e-12]
+    return (best[0] + best[-1]) / 2 * STEP
+
+
 def _scored(kind: str, place: int, model: list[float]):
     def score(s: Column) -> Column:
         ratio = llr(s["value"], model) if kind == "markov" else F.lit(1.0)
@@ -71,7 +104,7 @@ def _scored(kind: str, place: int, model: list[float]):
     return score
 
 
-def findings(text: Column, model: list[float]) -> Column:
+def findings(text: Column, model: list[float], at: float = LLR_AT) -> Column:
     """Array of (start, place, kind, end, score): base kinds with score 1, and `markov` tokens with their ratio."""
     t = F.coalesce(text, F.lit(""))
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
@@ -79,7 +112,7 @@ def findings(text: Column, model: list[float]) -> Column:
         ("assign", ASSIGN, lambda v: F.length(F.regexp_extract(v, VALUE, 1)) >= 12, t.rlike("(?i)passw|secret|token|api_?key")),
         ("access", ACCESS, lambda v: F.lit(True), F.contains(t, F.lit("AKIA"))),
         ("hex", HEX, lambda v: F.lit(True), None),
-        ("markov", CANDIDATE, lambda v: F.when(mixed(v), llr(v, model) >= LLR_AT).otherwise(False), None),
+        ("markov", CANDIDATE, lambda v: F.when(mixed(v), llr(v, model) >= at).otherwise(False), None),
     ]
     kinds = []
     for place, (kind, pattern, accept, gate) in enumerate(rules):
@@ -87,12 +120,20 @@ def findings(text: Column, model: list[float]) -> Column:
     return F.concat(*kinds)
 
 
-def scan(docs: DataFrame, model: list[float]) -> DataFrame:
-    """doc_id and `findings` of every row's whole text. Null and empty texts have none; rows are neither merged nor dropped."""
-    return docs.select("doc_id", findings(F.col("text"), model).alias("findings"))
+def scan(docs: DataFrame, model: list[float], at: float = LLR_AT) -> DataFrame:
+    """doc_id and `findings` of every row's whole text, however long. Null and empty texts have none; rows are neither merged
+    nor dropped, repeated ones scanned each; other columns are not read; an empty table gives an empty result."""
+    return docs.select("doc_id", findings(F.col("text"), model, at).alias("findings"))
+
+
+def learn(spark: SparkSession, docs: DataFrame) -> tuple[list[float], float]:
+    """Model and threshold from labelled samples: random strings by rule and secrets the base patterns find, against words."""
+    labelled = random_strings(spark).unionByName(planted(docs)).unionByName(identifiers(docs))
+    apart = F.pmod(F.xxhash64(F.lit(2), "token"), F.lit(HELD)) == 0
+    model = train(labelled.filter(~apart))
+    return model, threshold(labelled.filter(apart), model)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(random_strings(spark).unionByName(identifiers(docs)))
-    return digest_columns(scan(docs, model), BASE)
+    return digest_columns(scan(docs, *learn(spark, docs)), BASE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import settle
+from lodestar.llm._shared import maybe_in, settle, steps
 
 
 def host(url: Column) -> Column:
@@ -33,17 +33,26 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     captures (page_id, url, day): `host` entries match a URL's host, `domain` entries it and all below it. One row per
     row of captures. Null or malformed URLs and null days match nothing. Rows are first reduced to distinct pairs of host
     and day, so a host of many captures costs one as-of lookup per day; the verdicts are then joined to the rows. Both
-    sides of either join are settled tables, so that adaptive execution can split a hot key. Other columns are not read.
+    sides of either join are settled tables, so that adaptive execution can split a hot key. Of a host's names (itself and
+    all domains above it) only those that an entry names, or that look so in a bitmap, are shuffled. Other columns are not
+    read; repeated rows are judged each; an empty table or list gives an empty result or no match; URLs may be of any length.
     """
+    with steps() as kept:
+        return _judged(captures, entries, kept)
+
+
+def _judged(captures: DataFrame, entries: DataFrame, kept: list) -> DataFrame:
     own = settle(captures.select("page_id", "url", "day", host(F.col("url")).alias("host")))
     asked = own.filter("host <> '' and day is not null").select("host", "day").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
-    keys = settle(asked.select("host", "day", F.explode(F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))), suffixes)).alias("key")).select("host", "day", "key.*"))
     spans = settle(intervals(entries))
+    keys = asked.select("host", "day", F.explode(F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))), suffixes)).alias("key")).select("host", "day", "key.*")
+    keys = settle(maybe_in(keys, spans.select("value").distinct(), "value").filter("maybe").drop("maybe"))
     as_of = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     active = keys.join(spans.hint("merge"), ["kind", "value"]).filter(as_of)
     verdicts = settle(active.groupBy("host", "day").agg(F.count(F.lit(1)).alias("n_active"), F.min("valid_from").alias("since")))
+    kept += [own, verdicts]
     out = own.join(verdicts.hint("merge"), ["host", "day"], "left")
     return out.select("page_id", "url", "day", F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).alias("n_active"), "since")
 
