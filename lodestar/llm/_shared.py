@@ -36,6 +36,17 @@ def work_dir(spark: SparkSession) -> str:
 _open: list[list[DataFrame]] = []
 
 
+#: Bytes of a batch that goes to Python, in place of Spark's 64 MB: long texts then take the memory that short ones do.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's limit on a batch's bytes to BATCH_BYTES, unless it has one of its own."""
+    if spark.conf.get(BATCH) in ("67108864", "67108864b"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it: cuts lineage, survives lost executors."""
     spark = df.sparkSession

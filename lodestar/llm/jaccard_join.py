@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import lookup, maybe_in, settle, slices, steps, sweep, trim
+from lodestar.llm._shared import lookup, maybe_in, settle, slices, small_batches, steps, sweep, trim
 from lodestar.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -23,7 +24,7 @@ BLOCK, SLOTS = 512, (64, 8192)
 #: Rows of a list that pass by such a block in one task.
 PROBES = 1024
 #: Words whose digests a worker remembers, and the longest of them in bytes.
-WORDS, WORD_BYTES = 200_000, 40
+WORDS, WORD_BYTES = 150_000, 40
 _known: dict[bytes, bytes] = {}
 #: Odd multipliers of the two halves of a shingle's hash.
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -48,29 +49,57 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered distinct 128-bit hashes (two halves) of a whole text's shingles: A-Z lowered, words between white space,
-    five to a shingle, all words as one if there are fewer, none without words.
+def _word_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The digests (two halves) of all words of texts, A-Z lowered, in order, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    if pc.any(pc.equal(pc.binary_length(flat), 0)).as_py():  # a text without words is split into one empty word
+        empty = pc.equal(pc.binary_length(flat), 0)
+        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts), weights=empty.to_numpy(zero_copy_only=False), minlength=len(counts)).astype(np.int64)
+        flat = flat.filter(pc.invert(empty))
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    known = b"".join(d or _digest(w) for w, d in zip(words, map(_known.get, words), strict=True))
+    return np.frombuffer(known, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()], counts
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the ordered distinct 128-bit hashes (two halves) of the whole text's shingles: A-Z lowered, words between
+    white space, five to a shingle, all words as one if there are fewer, none without words.
 
     A word's digest is a cryptographic one, and a shingle's hash mixes its words' in turn, each half from its own half of
     the digests, so that there is no algebra by which different shingles would meet.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    known = list(map(_known.get, words))
-    if None in known:
-        known = [d or _digest(w) for w, d in zip(words, known, strict=True)]
-    halves = np.frombuffer(b"".join(known), np.uint64).reshape(-1, 2)
-    size = min(SHINGLE, len(words))
-    out = []
+    digests, counts = _word_digests(texts)
+    whole = _mixed(digests, SHINGLE)  # those that reach over a text's end are not taken
+    at = 0
+    for n in counts.tolist():
+        out = whole[:, at : at + n - SHINGLE + 1] if n >= SHINGLE else _mixed(digests[at : at + n], n)
+        at += n
+        yield _ordered(*out) if n else tuple(out)
+
+
+def _mixed(digests: np.ndarray, size: int) -> np.ndarray:
+    """Both halves of the hash of each run of `size` words."""
+    count = max(0, len(digests) - size + 1) if size else 0
+    out = np.full((2, count), size, np.uint64)
     for k, odd in enumerate(_ODD):
-        h = np.full(len(words) - size + 1, size, np.uint64)
         for j in range(size):
-            h = (h ^ halves[j : len(words) - size + 1 + j, k]) * odd
-            h ^= h >> np.uint64(32)
-        out.append(h)
-    return _ordered(*out)
+            out[k] ^= digests[j : j + count, k]
+            out[k] *= odd
+            out[k] ^= out[k] >> np.uint64(32)
+    return out
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """`shingle_sets` of one text."""
+    return next(shingle_sets(pa.array([text], pa.string())))
+
+
+def _finish() -> None:
+    _known.clear()
+    trim()
 
 
 def in_common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
@@ -99,9 +128,9 @@ def _sketch(docs: DataFrame) -> np.ndarray:
         n = np.zeros(SKETCH, np.int64)
         for b in batches:
             for part in slices(b, 1):
-                slots = [shingles(t)[0] >> np.uint64(48) for t in part.column(1).to_pylist()]
+                slots = [a >> np.uint64(48) for a, _ in shingle_sets(part.column(1))]
                 n += np.bincount(np.concatenate(slots).astype(np.int64), minlength=SKETCH)
-        trim()
+        _finish()
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
 
@@ -129,8 +158,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         for b in batches:
             for part in slices(b, 1):
                 rows = []
-                for t in part.column(1).to_pylist():
-                    s, s2 = shingles(t)
+                for s, s2 in shingle_sets(part.column(1)):
                     n = len(s)
                     if not n:
                         rows.append((0, None, None, None, None))
@@ -141,7 +169,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     seen.add(group)
                 n, node, group, prefix, slots = zip(*rows, strict=True) if rows else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "n", "node", "grp", "prefix", "slots"])
-        trim()
+        _finish()
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, node binary, grp bigint, prefix array<bigint>, slots binary")
 
@@ -203,17 +231,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, shingles(None)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 3)):
             links = []
-            for one, other, text, text2 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for one, other, text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), shingle_sets(b.column(3)), strict=True):
                 if one != last:  # rows come sorted by a
                     last, x = one, shingles(text.as_py())
-                y = shingles(text2.as_py())
                 n, m = len(x[0]), len(y[0])
                 if 100 * min(n, m) >= PERCENT * max(n, m) and _linked(n, m, in_common(x, y)):
                     links.append((one, other))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-        trim()
+        _finish()
 
     def texts(name: str) -> DataFrame:
         some = _likely(_texts(docs), pairs.select(F.col(name).alias("doc_id")).distinct())
@@ -314,6 +341,7 @@ def join(docs: DataFrame) -> DataFrame:
     have no set and are linked with nothing; repeated rows and ties are
     rows of one node; other columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     with steps() as kept:
         rows = settle(_prefixes(docs, _sketch(docs)))
         listed = rows.filter(F.col("prefix").isNotNull()).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", "n", (F.col("n") - F.col("pos")).alias("rest"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import settle, slices, steps, trim
+from lodestar.llm._shared import settle, slices, small_batches, steps, trim
 
 #: N-grams of 1 to 3 letters; length of a language's profile and of a document's; documents a language is learned from.
 PROFILE, DOC_PROFILE, TRAIN_DOCS = 1000, 300, 3000
@@ -53,6 +53,7 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, size: int = PROFILE) -> d
     texts, taken by a hash of doc_id. At most `size` codes per language reach the driver.
     """
     known = docs.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    small_batches(docs.sparkSession)
     with steps():
         return _profiles(known, max_docs, size)
 
@@ -101,6 +102,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     Null text, text without a letter, or no learned profile: `und` with score 0. Ties go to the smaller language
     name. Repeated rows are predicted each; other columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     longest = max([1, *map(len, profiles.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import release, settle, sweep
+from lodestar.llm._shared import release, settle, small_batches, sweep
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: Rows the partitions are learned from: so many for each partition, and at least. Rows a partition is planned for up to
@@ -156,6 +156,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     how many partitions are searched for a query, and of how many. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
 
     def usable(df: DataFrame, name: str) -> DataFrame:
         v = F.col("embedding").cast("array<double>")

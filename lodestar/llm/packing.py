@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import settle, slices, trim
+from lodestar.llm._shared import settle, slices, small_batches, trim
 
 SEQUENCE, END_ID, DIMS, BITS, HASHED = 2048, 1, 3, 10, 512
 #: Bytes kept of a worker's table of encoded chunks (an entry takes its ids and chunk and about 150), and the longest chunk kept there.
-CACHE, CACHED_CHARS = 48 << 20, 40
+CACHE, CACHED_CHARS = 32 << 20, 40
 #: Bytes of ids that one range of the curve should hold at most or so.
 RANGE_BYTES = 32 << 20
 #: A blank beside other white space, which the tokenizer's pattern takes together with it.
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", length: int = SEQUENC
     other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     coded = settle(encode(docs, tokenizer))
     tie, (curve, size) = F.xxhash64("doc_id", F.length("ids")), curve_key(coded)
     keyed = coded.select("doc_id", "ids", curve.alias("curve"), tie.alias("tie"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._shared import release, settle, slices, trim
+from lodestar.llm._shared import release, settle, slices, small_batches, trim
 
 #: Labelled rows learned from, at most about so many. All other rows are the pool the views label for each other.
 LABELLED = 4000
@@ -20,6 +20,8 @@ ROUNDS, HANDED, SLOTS = 5, 0.05, 512
 #: Slots of the other view: sources, languages, sizes in quarters of a doubling, the size itself.
 SOURCES, LANGS, SIZES = 24, 8, 80
 META = SOURCES + LANGS + SIZES + 1
+#: Newton steps in a round but the last, which goes to the end: each is a pass over the pool.
+STEPS_IN_ROUND = 2
 #: Sums of one size that one task adds up.
 FAN = 32
 #: Weight of a pseudo-label; in a pool of more than LABELLED rows so much less that all together weigh the same.
@@ -164,22 +166,11 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFrame
     w = tuple(fit_logistic(x, t) for x in own)
     tri = [np.triu_indices(x.shape[1] + 1) for x in own]
     ends = np.cumsum([0, *(n for x, i in zip(own, tri, strict=True) for n in (x.shape[1] + 1, len(i[0]), 1))])
-    given = (0, 0)
-    for _ in range(ROUNDS):
+    weight, given = 1.0, (0, 0)
 
-        def scores(x, w=w, rounds=tuple(rounds)):
-            known = taught(x, rounds)
-            return np.concatenate([np.bincount(_bins(_score(x[k], w[k]))[known[1 - k] < 0] + FAR * STEPS, minlength=2 * FAR * STEPS) for k in (0, 1)])
-
-        counts = _total(pool, scores)
-        if not np.any(counts):
-            break
-        counts = counts.reshape(2, -1)
-        size = size or int(counts[0].sum())
-        n_up, n_down = max(1, int(HANDED * size * share)), max(1, int(HANDED * size * (1 - share)))
-        rounds.append((w, tuple(_cuts(c, n_up, n_down) for c in counts)))
-        weight = min(1.0, LABELLED / size)
-        for _ in range(12):  # both views take a step of Newton's method in one pass
+    def climb(w: tuple, steps: int) -> tuple[tuple, tuple[int, int]]:
+        """Weights after at most so many steps of Newton's method, both views in one pass, and how many rows they are taught."""
+        for _ in range(steps):
 
             def sums(x, w=w, rounds=tuple(rounds)):
                 out = []
@@ -190,7 +181,6 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFrame
 
             total = np.broadcast_to(_total(pool, sums), ends[-1])
             parts = [total[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            given = int(parts[2][0]), int(parts[5][0])
             new = []
             for k in (0, 1):
                 g, flat, n = parts[3 * k : 3 * k + 3]
@@ -204,6 +194,23 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFrame
             w = tuple(new)
             if moved < 1e-2:  # the next step would be about its square
                 break
+        return w, (int(parts[2][0]), int(parts[5][0]))
+
+    for turn in range(ROUNDS):
+
+        def scores(x, w=w, rounds=tuple(rounds)):
+            known = taught(x, rounds)
+            return np.concatenate([np.bincount(_bins(_score(x[k], w[k]))[known[1 - k] < 0] + FAR * STEPS, minlength=2 * FAR * STEPS) for k in (0, 1)])
+
+        counts = _total(pool, scores)
+        if not np.any(counts):
+            break
+        counts = counts.reshape(2, -1)
+        size = size or int(counts[0].sum())
+        weight = min(1.0, LABELLED / size)
+        n_up, n_down = max(1, int(HANDED * size * share)), max(1, int(HANDED * size * (1 - share)))
+        rounds.append((w, tuple(_cuts(c, n_up, n_down) for c in counts)))
+        w, given = climb(w, STEPS_IN_ROUND if turn + 1 < ROUNDS else 12)
     use = held if held.any() else ~held
     scale = tuple(fit_logistic(_score(v[use], x)[:, None], y[use]) for v, x in zip(views, w, strict=True))
     odds = y[use].mean() / (1 - y[use].mean())
@@ -246,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([_packed(c) for c in counts], pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], ["doc_id", "y", "triples", "meta"])
         trim()
 
+    small_batches(docs.sparkSession)
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     n_known = known.count()
@@ -299,6 +307,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     equal scores, repeated rows one each. Without a model every score is 0.5. Other columns are not read; an empty table
     gives an empty result. docs needs the columns of COLUMNS.
     """
+    small_batches(docs.sparkSession)
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _judge(model).alias("got"))
     return got.select("doc_id", "got.*", (F.col("got.quality_score") >= ACCEPT_AT).alias("accepted"))
 
@@ -309,6 +318,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     Rows stay in the JVM, whatever other columns they have; the four columns read alone go to Python. Without a model all
     rows stay; of an empty table none.
     """
+    small_batches(docs.sparkSession)
     return docs.filter(_judge(model)["quality_score"] >= ACCEPT_AT)
 
 
