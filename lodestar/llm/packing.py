@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import array
 import base64
 import functools
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,30 +16,19 @@ from pyspark.sql import functions as F
 from lodestar.llm._shared import settle, slices, small_batches, trim
 
 SEQUENCE, END_ID, DIMS, BITS, HASHED = 2048, 1, 3, 10, 512
-#: Bytes kept of a worker's table of encoded chunks (an entry takes its ids and chunk and about 150), and the longest chunk kept there.
-CACHE, CACHED_CHARS = 32 << 20, 40
 #: Bytes of ids that one range of the curve should hold at most or so.
 RANGE_BYTES = 32 << 20
-#: A blank beside other white space, which the tokenizer's pattern takes together with it.
-_WIDE = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
 
 
 class Encoder:
-    """Ids of the byte-level BPE: its fast implementation with a table of known chunks, the reference one for special strings.
-
-    A blank between two characters that aren't white space begins a piece of the tokenizer's pattern. Texts with no other
-    blanks are encoded chunk by chunk; a run of white space that holds a blank may be one piece, so other texts are encoded whole.
-    """
+    """Ids of the byte-level BPE: its fast implementation, or the reference one for texts that hold a special string."""
 
     def __init__(self, full_file: str, ranks_file: str, pattern: str):
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.held, self.full_file = 0, full_file
-        self.line_feed = self.fast.encode_ordinary("\n")[0]
+        self.fast, self.full_file = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), full_file
         with open(full_file, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
 
@@ -52,40 +39,16 @@ class Encoder:
 
         return Tokenizer.from_file(self.full_file)
 
-    def _ids(self, text: str) -> bytes:
-        return array.array("H", self.fast.encode_ordinary(text)).tobytes()
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of blank + chunk. Printable chunks hold no line feed, so one call encodes them all, parted by line feeds."""
-        plain = [c for c in chunks if c and c.isprintable()]
-        got = {c: self._ids(f" {c}") for c in chunks if not c or not c.isprintable()}
-        ids = np.asarray(self.fast.encode_ordinary("\n ".join(["", *plain, ""])), np.uint16)
-        ends = np.flatnonzero(ids == self.line_feed)
-        if len(ends) == len(plain) + 1:
-            raw, at = ids.tobytes(), (2 * ends).tolist()
-            got.update((c, raw[i + 2 : j]) for c, i, j in zip(plain, at, at[1:], strict=False))
-        else:
-            got.update((c, self._ids(f" {c}")) for c in plain)
-        if self.held < CACHE:
-            new = {c: x for c, x in got.items() if len(c) <= CACHED_CHARS}
-            self.known.update(new)
-            self.held += sum(150 + len(c) + len(x) for c, x in new.items())
-        return got
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian 16-bit numbers."""
-        out: list = []
+        out = []
         for text in texts:
             if any(s in text for s in self.special):
-                out.append(array.array("H", self.full.encode(text, add_special_tokens=False).ids).tobytes())
-            elif _WIDE.search(text):
-                out.append(self._ids(text))
+                ids = np.asarray(self.full.encode(text, add_special_tokens=False).ids)
             else:
-                first, *rest = text.split(" ")
-                out.append((self._ids(first), rest, list(map(self.known.get, rest))))
-        missing = {c for x in out if isinstance(x, tuple) and None in x[2] for c, got in zip(x[1], x[2], strict=True) if got is None}
-        learned = self._learn(missing) if missing else {}
-        return [x if isinstance(x, bytes) else x[0] + b"".join(learned[c] if got is None else got for c, got in zip(x[1], x[2], strict=True)) if None in x[2] else x[0] + b"".join(x[2]) for x in out]
+                ids = self.fast.encode_to_numpy(text, disallowed_special=())
+            out.append(ids.astype("<u2").tobytes())
+        return out
 
 
 @functools.cache
