@@ -22,7 +22,7 @@ PAIRED, HUBS = 24, 4
 #: Rows of a list held in memory at a time; slots of a document's counts, as many as shingles or so.
 BLOCK, SLOTS = 512, (64, 8192)
 #: Rows of a list that pass by such a block in one task.
-PROBES = 1024
+PROBES = 512
 #: Words whose digests a worker remembers, and the longest of them in bytes.
 WORDS, WORD_BYTES = 150_000, 40
 _known: dict[bytes, bytes] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import json
@@ -17,7 +18,7 @@ from lodestar.llm._shared import settle, slices, small_batches, trim
 
 SEQUENCE, END_ID, DIMS, BITS, HASHED = 2048, 1, 3, 10, 512
 #: Bytes of ids that one range of the curve should hold at most or so.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 
 
 class Encoder:
@@ -40,14 +41,14 @@ class Encoder:
         return Tokenizer.from_file(self.full_file)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, as little-endian 16-bit numbers."""
+        """The ids of whole texts, as 16-bit numbers."""
         out = []
         for text in texts:
             if any(s in text for s in self.special):
-                ids = np.asarray(self.full.encode(text, add_special_tokens=False).ids)
+                ids = self.full.encode(text, add_special_tokens=False).ids
             else:
-                ids = self.fast.encode_to_numpy(text, disallowed_special=())
-            out.append(ids.astype("<u2").tobytes())
+                ids = self.fast.encode_ordinary(text)
+            out.append(array.array("H", ids).tobytes())
         return out
 
 
