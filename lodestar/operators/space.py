@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.curves import correlation_similarity, cosine, duration_profile
+from lodestar.functions.sequences import combined_similarity
+from lodestar.operators.workspace import block_products
+
 #: Weights of the groups of columns that are compared; a group without common columns drops out.
 GROUPS = {
     "energy": (0.10, ("p_retailprice", "extendedprice_mean", "extendedprice_std", "extendedprice_range")),
@@ -14,14 +18,30 @@ GROUPS = {
     "size": (0.05, ("p_size",)),
 }
 EMBEDDING_WEIGHT, REASON_AT, MAX_REASONS = 0.30, 0.60, 4
+#: Values of a column that are ordered in one task, or so.
+RANGE_ROWS = 100_000
 #: Groups that need the flag on both sides.
 FLAGGED_GROUPS = ("presence",)
 
 
 def percentiles_long(items: DataFrame, columns: list[str], key: str = "item_id") -> DataFrame:
-    """key, col, value, p: share of the column's non-null values that are at most the row's; one shuffle for all columns."""
+    """key, col, value, p: share of the column's non-null values that are at most the row's.
+
+    A column's values are cut into ranges of about RANGE_ROWS at approximate quantiles; each range is ordered by itself, and
+    the numbers of values in the ranges before are added. So one shuffle serves all columns, and no task sees a whole column.
+    """
     long = items.unpivot(key, columns, "col", "value").filter(F.col("value").isNotNull())
-    return long.withColumn("p", F.cume_dist().over(Window.partitionBy("col").orderBy("value")))
+    ranges = min(10_000, -(-items.count() // RANGE_ROWS))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = F.percentile_approx("value", cuts, max(10_000, 10 * ranges)) if cuts else F.array().cast("array<double>")
+    per = long.groupBy("col").agg(F.count(F.lit(1)).alias("n"), bounds.alias("bounds"))  # a row for each column
+    placed = long.join(F.broadcast(per), "col").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
+    counts = placed.groupBy("col", "range").agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.partitionBy("col").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("col", "range", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))  # ranges x columns rows
+    within = F.count(F.lit(1)).over(Window.partitionBy("col", "range").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    got = placed.withColumn("within", within).join(F.broadcast(before), ["col", "range"])
+    return got.select(key, "col", "value", ((F.col("before") + F.col("within")) / F.col("n")).alias("p"))
 
 
 def space(items: DataFrame, columns: list[str], key: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,6 +66,31 @@ def group_similarity(a: str, b: str, columns: tuple[str, ...], flag: str | None
     return F.when((F.col(f"{a}{flag}") == 1) & (F.col(f"{b}{flag}") == 1), s) if flag else s
 
 
+def with_sequences(scalar: Column, a: Column, b: Column) -> Column:
+    """A group's similarity with its sequences: half each where both have two tokens or more, else what is known."""
+    seq = combined_similarity(a, b)
+    both = F.coalesce((F.size(a) >= 2) & (F.size(b) >= 2), F.lit(False))
+    return F.when(~both, scalar).when(scalar.isNull(), seq).otherwise(clip(0.5 * scalar + 0.5 * seq))
+
+
+#: Weights of the energy curve, the sequence of section groups and the duration profile.
+STRUCTURE = (0.45, 0.30, 0.25)
+
+
+def structure_similarity(curves: tuple[Column, Column], groups: tuple[Column, Column], ratios: tuple[Column, Column]) -> Column:
+    """Weighted mean of what is known of: correlation of energy curves, similarity of group sequences (two tokens or more
+    each), correlation of duration profiles; null if nothing is. A correlation is unknown for constant curves, curves
+    of different lengths, and curves that are 0 throughout."""
+    alive = lambda c: F.coalesce(F.exists(c, lambda v: v != 0), F.lit(False))
+    energy = F.when(alive(curves[0]) & alive(curves[1]), correlation_similarity(*curves))
+    order = with_sequences(F.lit(None).cast("double"), *groups)
+    lengths = correlation_similarity(duration_profile(ratios[0]), duration_profile(ratios[1]))
+    parts = list(zip(STRUCTURE, (energy, order, lengths), strict=True))
+    total = sum((F.when(s.isNotNull(), w).otherwise(0.0) for w, s in parts), F.lit(0.0))
+    blend = sum((F.coalesce(s * w, F.lit(0.0)) for w, s in parts), F.lit(0.0))
+    return F.when(total > 0, clip(blend / total))
+
+
 def pair_scores(pairs: DataFrame, a: str = "a_", b: str = "b_", embedding: str = "embedding") -> DataFrame:
     """Pairs with s_<group> similarities and `score`, their weighted mean over what is known, to 4 places."""
     sims = {f"s_{g}": group_similarity(a, b, cols, "flagged" if g in FLAGGED_GROUPS else None) for g, (_, cols) in GROUPS.items()}
@@ -109,35 +154,36 @@ def support(percentiles: DataFrame, targets: dict[str, float]) -> DataFrame:
     return got.withColumn("min_support", least).withColumn("low_support", F.col("support") < F.col("min_support"))
 
 
+#: Vectors and queries that meet in one task.
+MEET = (8192, 2048)
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "item_id") -> DataFrame:
-    """Exact top-k by inner product: stripes of the query set pass by every partition of vectors as matrix products.
+    """Exact top-k by inner product of any number of queries: blocks of queries meet blocks of vectors as matrix products.
 
-    Queries are a bounded set that the caller states (seeds, users in a batch); the rows of vectors are never moved.
-    Returns query_id, item_id, similarity = (inner product + 1) / 2 between 0 and 1, rank.
+    Returns query_id, item_id, similarity = (inner product + 1) / 2 between 0 and 1, rank. Neither side goes to the driver.
     """
     import numpy as np
-    import pandas as pd
-
-    rows = queries.select("query_id", "vector").collect()
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, similarity double, rank int")
-    ids, q = np.array([r.query_id for r in rows]), np.array([r.vector for r in rows])
-
-    def run(parts):
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            m, who = np.stack(pdf.vector.to_numpy()), pdf[key].to_numpy()
-            for at in range(0, len(q), 512):
-                s = q[at : at + 512] @ m.T
-                s[ids[at : at + 512, None] == who[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                floor = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero((s >= floor - 1e-9) & np.isfinite(s))
-                exact = (q[at + i] * m[j]).sum(axis=1)
-                yield pd.DataFrame({"query_id": ids[at + i], "item_id": who[j], "ip": exact})
-
-    found = vectors.select(key, "vector").mapInPandas(run, "query_id bigint, item_id bigint, ip double")
+    import pyarrow as pa
+
+    names = ["query_id", "item_id", "ip"]
+    matrix = lambda t: t.column("vector").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        if not len(rows) or not len(asks):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
+        m, who, q, ids = matrix(rows), rows.column(key).to_numpy(), matrix(asks), asks.column("query_id").to_numpy()
+        out = []
+        for at in range(0, len(q), 256):
+            s = q[at : at + 256] @ m.T
+            s[ids[at : at + 256, None] == who[None, :]] = -np.inf
+            n = min(k, s.shape[1])
+            floor = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+            i, j = np.nonzero((s >= floor - 4e-6) & np.isfinite(s))  # what rounding may make equal, too
+            out.append((ids[at + i], who[j], (q[at + i] * m[j]).sum(axis=1)))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    found = block_products(vectors.select(key, "vector"), queries.select("query_id", "vector"), (key, "query_id"), run, "query_id bigint, item_id bigint, ip double", MEET)
     sim = F.round(clip((F.col("ip") + 1) / 2), 6)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return found.select("query_id", "item_id", sim.alias("similarity")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -145,7 +191,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "item
 
 def similar(percentiles: DataFrame, vectors: DataFrame, seeds: DataFrame, recall: int = 200, limit: int = 20) -> DataFrame:
     """Two stages for a stated set of seeds (item_id): vector recall, then weighted re-ranking with reasons."""
-    queries = vectors.join(F.broadcast(seeds), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "vector")
+    queries = vectors.join(seeds, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "vector")
     pool = vector_topk(vectors, queries, recall).select("query_id", "item_id", F.col("similarity").alias("embedding"))
     side = lambda p, k: percentiles.select(F.col("item_id").alias(k), *(F.col(c).alias(f"{p}{c}") for c in percentiles.columns if c != "item_id"))
     pairs = pool.join(side("b_", "item_id"), "item_id").join(side("a_", "query_id"), "query_id")
@@ -179,3 +225,28 @@ def deduplicate(candidates: DataFrame, limit: int, weight: float = 0.8, near: fl
         return pd.DataFrame({"list_id": pdf.list_id.iloc[chosen], "item_id": pdf.item_id.iloc[chosen], "score": pdf.score.iloc[chosen], "rank": range(1, len(chosen) + 1)})
 
     return candidates.groupBy("list_id").applyInPandas(pick, "list_id bigint, item_id bigint, score double, rank int")
+
+
+def deduplicate_all(candidates: DataFrame, limit: int, weight: float = 0.8, near: float = 0.97) -> DataFrame:
+    """The choice of `deduplicate` from one list of any length (item_id, score, vector): item_id, score, rank.
+
+    Each step is one aggregate over the whole list, as every choice changes what the next one may be; only the chosen
+    vectors, `limit` of them, reach the driver. A missing vector is near nothing.
+    """
+    spark = candidates.sparkSession
+    rows = candidates.select("item_id", "score", "vector")
+    short = rows.limit(limit + 1).count() <= limit or limit <= 1
+    chosen: list = []
+    while not short and len(chosen) < limit:
+        near_to = [cosine(F.col("vector"), F.array(*(F.lit(float(x)) for x in r.vector)), 0.0) for r in chosen if r.vector is not None]
+        most = F.coalesce(F.greatest(F.lit(0.0), *near_to), F.lit(0.0)) if near_to else F.lit(0.0)
+        open_ = rows.withColumn("most", most).filter((F.col("most") <= near) & ~F.col("item_id").isin([r.item_id for r in chosen] or [None])) if chosen else rows.withColumn("most", most)
+        value = F.round(weight * F.col("score") - (1 - weight) * F.col("most"), 12)
+        best = open_.agg(F.min_by(F.struct("item_id", "score", "vector"), F.struct(-value, -F.col("score"), F.col("item_id"))).alias("r")).first().r
+        if best is None:
+            break
+        chosen.append(best)
+    rest = rows.filter(~F.col("item_id").isin([r.item_id for r in chosen])) if chosen else rows
+    fill = rest.orderBy(F.desc("score"), "item_id").limit(limit - len(chosen)).collect() if len(chosen) < limit else []
+    picked = [(r.item_id, float(r.score), i + 1) for i, r in enumerate([*chosen, *fill])]
+    return spark.createDataFrame(picked, "item_id bigint, score double, rank int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as ft
 from lodestar.operators import interest, series, space, store
-from lodestar.plans.retrieval import COLUMNS, LONG_SQL
+from lodestar.plans.retrieval import COLUMNS, LONG_SQL, SPACE_SQL, _space
 from lodestar.sources import bindings as b
 from lodestar.sources.files import scan_status
 
@@ -66,12 +66,20 @@ def _pool(spark, sf) -> DataFrame:
     v = b.vectors(spark, sf)
     q = interest.interest_blend(interest.interest_vectors(_weights(spark, sf), v)).withColumnRenamed("user_id", "query_id")
     got = space.vector_topk(v, q.withColumn("query_id", -F.col("query_id") - 1), 200)
-    return got.select((-F.col("query_id") - 1).alias("user_id"), "item_id", "similarity", F.col("similarity").alias("preference"))
+    pool = got.select((-F.col("query_id") - 1).alias("user_id"), "item_id", "similarity")
+    percentiles = _space(spark, sf)
+    targets = interest.metadata_blend(interest.interest_metadata(_weights(spark, sf), percentiles.unpivot("item_id", COLUMNS, "col", "p").filter("p is not null")))
+    return interest.feed_terms(pool, targets, percentiles, COLUMNS)
+
+
+def feed_terms(spark, sf):
+    """What each user's 200 nearest items are worth before novelty and diversity."""
+    return _pool(spark, sf).select("user_id", "item_id", F.round("by_vector", 6).alias("by_vector"), F.round(F.col("similarity") + 1e-9, 4).alias("similarity"), F.round(F.col("preference") + 1e-9, 4).alias("preference"))
 
 
 def feed_mmr(spark, sf):
     history = interest.recent_history(b.interactions(spark, sf), 10)
-    return interest.feed(_pool(spark, sf), history, b.vectors(spark, sf), 20)
+    return interest.feed(_pool(spark, sf).drop("by_vector"), history, b.vectors(spark, sf), 20)
 
 
 def cold_start(spark, sf):
@@ -234,9 +242,25 @@ def text_negation(spark, sf):
     return docs.select("doc_id", ft.negated_column(F.lower("text"), "that", ("and", "the")).alias("negated"))
 
 
-QUERIES = {f.__name__: f for f in (decay_weight, scope_weights, interest_vector, interest_blend, interest_metadata, interest_state, recent_history, exclude_history, exclude_history_all, feed_mmr, cold_start, popularity, time_grid, gap_fill, moving_average, median_filter, minmax_curve, rank_percent, run_collapse, interval_histogram, tempo_stats, high_intervals, densest_window, sliding_windows, sessions, segment_means, peaks_prominence, library_fingerprint, storage_profile, upsert_items, conditional_update, incremental_scan, windowed_delete, stale_flag, text_lexicon_match, text_negation)}
+QUERIES = {f.__name__: f for f in (decay_weight, scope_weights, interest_vector, interest_blend, interest_metadata, interest_state, recent_history, exclude_history, exclude_history_all, feed_terms, feed_mmr, cold_start, popularity, time_grid, gap_fill, moving_average, median_filter, minmax_curve, rank_percent, run_collapse, interval_histogram, tempo_stats, high_intervals, densest_window, sliding_windows, sessions, segment_means, peaks_prominence, library_fingerprint, storage_profile, upsert_items, conditional_update, incremental_scan, windowed_delete, stale_flag, text_lexicon_match, text_negation)}
 _HIST = "SELECT user_id, item_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_s DESC, event_id DESC) AS place FROM log WHERE event IN ('play', 'complete', 'replay', 'like')) WHERE place <= 10"
+_TARGET_COLS = ", ".join(f"max(CASE WHEN col = '{c}' THEN target END) AS t_{c}" for c in COLUMNS)
+_AFFINITY = "list_avg(list_filter([" + ", ".join(f"1 - abs({c} - t_{c})" for c in COLUMNS) + "], lambda v: v IS NOT NULL))"
+FEED_TERMS_SQL = (
+    SCOPE_CTE.replace("WITH ", SPACE_SQL + ", ", 1) + VECTOR_CTE[len(SCOPE_CTE) :]
+    + ", bl AS (SELECT user_id, pos, sum(x * CASE scope " + " ".join(f"WHEN '{s}' THEN {lam}" for s, (_, lam) in interest.SCOPES.items()) + " END) AS x FROM vu GROUP BY 1, 2)"
+    + ", q AS (SELECT user_id, list(x ORDER BY pos) AS v, sqrt(sum(x * x)) AS n FROM bl GROUP BY 1)"
+    + ", ip AS (SELECT user_id, vec_id AS item_id, round(least(1.0, greatest(0.0, (list_inner_product(v, CAST(embedding AS DOUBLE[])) / n + 1) / 2)), 6) AS sim FROM q, embeddings)"
+    + ", pool AS (SELECT user_id, item_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS r FROM ip) WHERE r <= 200)"
+    + ", base AS (SELECT * FROM sw WHERE item_id IN (SELECT item_id FROM long)), tot AS (SELECT user_id, scope, sum(abs(w)) AS total FROM base GROUP BY 1, 2)"
+    + ", ws AS (SELECT user_id, scope, col, sum(w * p) AS s FROM base JOIN long USING (item_id) GROUP BY 1, 2, 3)"
+    + ", ms AS (SELECT t.user_id, t.scope, c.col, round(coalesce(s, 0.0) / total + 1e-9, 3) AS target FROM tot t CROSS JOIN (SELECT DISTINCT col FROM long) c LEFT JOIN ws ON ws.user_id = t.user_id AND ws.scope = t.scope AND ws.col = c.col WHERE total > 0)"
+    + ", mb AS (SELECT user_id, col, sum(target * CASE scope " + " ".join(f"WHEN '{s}' THEN {lam}" for s, (_, lam) in interest.SCOPES.items()) + " END) AS target FROM ms GROUP BY 1, 2)"
+    + f", mw AS (SELECT user_id, {_TARGET_COLS} FROM mb GROUP BY 1), k AS (SELECT pool.user_id, pool.item_id, sim, {_AFFINITY} AS meta FROM pool LEFT JOIN space ON space.item_id = pool.item_id LEFT JOIN mw ON mw.user_id = pool.user_id)"
+    + " SELECT user_id, item_id, sim AS by_vector, round(coalesce(meta, sim) + 1e-9, 4) AS similarity, round(coalesce(0.6 * sim + 0.4 * meta, sim) + 1e-9, 4) AS preference FROM k"
+)
 ORACLE_SQL = {
+    "feed_terms": FEED_TERMS_SQL,
     "decay_weight": f"WITH {LOG} SELECT event_id, round({WEIGHT_SQL}, 6) AS w FROM log",
     "scope_weights": SCOPE_CTE + " SELECT user_id, scope, item_id, round(w, 6) AS w FROM sw",
     "interest_vector": VECTOR_CTE + " SELECT user_id, scope, pos, round(x, 6) AS x FROM vu",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import curves as fc
 from lodestar.functions import sequences as fs
 from lodestar.operators import discovery, space, store
+from lodestar.operators.workspace import versioned
 from lodestar.sources import bindings as b
 
 COLUMNS = [c for _, cols in space.GROUPS.values() for c in cols]
@@ -18,7 +19,9 @@ SPACE_SQL = f"WITH items AS ({b.ITEM_SQL}), long AS {LONG_SQL}, space AS (SELECT
 
 
 def _space(spark: SparkSession, sf: str) -> DataFrame:
-    return space.space(b.item_profile(spark, sf), COLUMNS, keep=("flagged", "brand"))
+    """Items in percentile space, kept by the version of the tables they come from."""
+    build = lambda: space.space(b.item_profile(spark, sf), COLUMNS, keep=("flagged", "brand"))
+    return versioned(spark, "space", [f"{sf}/part.parquet", f"{sf}/lineitem.parquet"], build)
 
 
 def null_mean_sql(terms: list[str]) -> str:
@@ -84,9 +87,9 @@ def member_pool(spark, sf):
 
 
 def category_dedupe(spark, sf):
-    """The 30 choices of the category, near-duplicates suppressed, among its 200 best rows with a vector."""
-    ranked = space.rank_category(_space(spark, sf), TARGETS, limit=200).select("item_id", "score")
-    return space.deduplicate(ranked.join(b.vectors(spark, sf).select("item_id", "vector"), "item_id", "left").withColumn("list_id", F.lit(1).cast("bigint")), 30)
+    """The 30 choices of the category, near-duplicates suppressed, among all its rows."""
+    ranked = space.rank_category(_space(spark, sf), TARGETS).select("item_id", "score")
+    return space.deduplicate_all(ranked.join(b.vectors(spark, sf).select("item_id", "vector"), "item_id", "left").persist(), 30)
 
 
 def _seeds(spark, sf) -> DataFrame:
@@ -129,9 +132,8 @@ def _sequence_pairs(spark, sf) -> DataFrame:
 
 
 def sequence_similarity(spark, sf):
-    x, y = F.col("x"), F.col("y")
-    sims = {"lev": fs.levenshtein_similarity(x, y), "jac": fs.jaccard_similarity(x, y), "gram": fs.ngram_similarity(x, y), "trans": fs.transition_similarity(x, y), "combined": fs.combined_similarity(x, y)}
-    return _sequence_pairs(spark, sf).select("u1", *(F.round(c, 6).alias(n) for n, c in sims.items()))
+    got = _sequence_pairs(spark, sf).select("u1", fs.similarities(F.col("x"), F.col("y")).alias("s"))
+    return got.select("u1", *(F.round(f"s.{n}", 6).alias(n) for n in ("lev", "jac", "gram", "trans", "combined")))
 
 
 _TIMES = "len(list_filter({0}, lambda z: z = k))"

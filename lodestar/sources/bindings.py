@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.workspace import versioned
+
 #: The clock of all bound queries, in epoch seconds: 2024-01-31 00:00:00 UTC.
 NOW = 1_706_659_200
 #: Fixed binding of event types to interaction names and to token letters.
@@ -19,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def item_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`build_profile`, kept by the version of the tables it comes from."""
+    return versioned(spark, "items", [f"{sf_dir}/part.parquet", f"{sf_dir}/lineitem.parquet"], lambda: build_profile(spark, sf_dir))
+
+
+def build_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per part with its line statistics; `flagged` is 1 if over a quarter of its lines came back.
 
     Statistics of `tax` are null where flagged is 0, as vocal measures are without vocals.
