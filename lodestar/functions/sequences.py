@@ -107,5 +107,5 @@ def relative_tokens(roots: Column, qualities: Column, tonic: Column) -> Column:
 def parse_sequence(raw: Column) -> Column:
     """Tokens of a stored sequence, a JSON array or words between commas; empty ones are left out, null gives none."""
     listed = F.from_json(raw, "array<string>")
-    split = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim)
+    split = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda t: F.trim(t))
     return F.filter(F.when(F.trim(raw).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(split), lambda t: t.isNotNull() & (t != ""))

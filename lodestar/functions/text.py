@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 BLANK, BEFORE, HIGH, LOW = "　", 4, 0.85, 0.15
 #: Negations, filler words, particles and degree adverbs of Chinese requests.
 NEGATIONS = ("不要", "别", "不想", "没有", "去掉", "不是")
-FILLERS = ("我想听", "我想要", "想听", "给我", "来点", "来一些", "推荐", "一些", "音乐", "歌曲", "的歌")
-PARTICLES = "的了吧呢啊和与，。、；！？,.;!? 　"
-DEGREES = ("非常", "特别", "比较", "有点", "很", "更", "最")
+FILLERS = ("来点", "来首", "来一支", "放点", "放首", "听点", "听首", "我想", "我要", "帮我", "推荐", "一些", "一点", "一首", "首歌", "的歌", "的音", "谢谢", "请", "的")
+MARKS = ",，。.!！?？、〜~·…"
+PARTICLES = ("的", "又", "而", "是")
+DEGREES = ("很", "太", "非常", "超级", "超", "比较", "挺", "更", "最", "有点", "有些", "稍微", "特别", "不太", "略微")
+TRAILERS = ("一点", "一些", "点儿", "一些些", "点")
 
 
 def match_terms(text: str, terms: list[str]) -> list[tuple[int, str]]:
@@ -47,19 +49,57 @@ def parse(text: str, lexicon: dict[str, tuple[list[str], list[str]]], flags: dic
     return {"query": query, "hard_filter": filters, "matched": matched, "unmatched": residue(text, matched)}
 
 
-def residue(text: str, matched: list[str]) -> list[str]:
-    """Words of two characters or more that nothing explains, each once."""
-    for w in [*sorted(matched, key=len, reverse=True), *FILLERS, *NEGATIONS]:
+def residue(text: str, matched: list[str], known: tuple[str, ...] = ()) -> list[str]:
+    """Words of two characters or more that nothing explains, each once: fillers, matched words and negations go, what is
+    left is parted at particles and marks, and degree adverbs before and trailers behind a word go too."""
+    gap = rf"[\s{re.escape(MARKS)}]*"
+    text = re.sub(f"{gap}(?:{'|'.join(FILLERS)})+{gap}", " ", text)
+    for w in [*sorted(matched, key=len, reverse=True), *NEGATIONS]:
         text = text.replace(w, " ")
-    out = []
-    for part in re.split(f"[{re.escape(PARTICLES)}]+", text):
-        for d in DEGREES:
-            part = part.removeprefix(d)
-        if len(part) >= 2 and part not in out:
+    out: list[str] = []
+    for part in re.split(rf"[\s{re.escape(MARKS)}/|{''.join(PARTICLES)}]+", text):
+        part = re.sub(f"^(?:{'|'.join(DEGREES)})+|(?:{'|'.join(TRAILERS)})+$", "", part)
+        if len(part) >= 2 and part not in out and part not in known:
             out.append(part)
     return out
 
 
+def tag_request(text: str, languages: dict[str, str | None], genres: dict[str, tuple[str, dict]], registers: dict[str, tuple[str, dict]], tagged: dict[str, int], dims: set[str]) -> dict:
+    """What language, genre and register words of a request ask for: query, hard_filter, matched, unmatched, proxies.
+
+    tagged: how many rows of the library carry a language and a genre; dims: dimensions it has. A language word becomes a
+    filter by tag (without a value: unflagged rows), or is unmatched if no row is tagged. A genre word becomes a filter if any
+    row is tagged, else targets of the dimensions that usually go with it, marked as a proxy; a register word always the
+    latter. Targets do not replace those there are; a word with no dimension of the library is unmatched.
+    """
+    query: dict[str, float] = {}
+    hard, matched, unmatched, proxies = {}, [], [], []
+    for term in (t for t in languages if t in text):
+        if languages[term] is None:
+            hard["unflagged"] = True
+        elif tagged.get("language"):
+            hard["language_is"] = languages[term]
+        else:
+            unmatched.append((term, "no-language-tag-in-library"))
+            continue
+        matched.append(term)
+    for kind, words, reason in (("genre", genres, "no-genre-tag-in-library"), ("register", registers, "no-vocal-dimensions-in-library")):
+        for term, (name, shape) in ((t, words[t]) for t in words if t in text):
+            if kind == "genre" and tagged.get("genre"):
+                hard["genre_is"] = name
+                matched.append(term)
+                continue
+            used = {d: v for d, v in shape.items() if d in dims}
+            if not used:
+                unmatched.append((term, reason))
+                continue
+            for d, v in used.items():
+                query.setdefault(d, v)
+            proxies.append((kind, term, name, sorted(used)))
+            matched.append(term)
+    return {"query": query, "hard_filter": hard, "matched": matched, "unmatched": unmatched, "proxies": proxies}
+
+
 def matches_column(text: Column, terms: list[str]) -> Column:
     """match_terms of a column of texts, joined by commas in order of position; JVM only, one fold over the terms."""
     ordered = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))

@@ -118,12 +118,13 @@ def find_peaks(x, prominence: float, distance: int) -> list[tuple[int, float]]:
 
 
 def peaks(df: DataFrame, keys: list[str], at: str, v: str, prominence: float, distance: int, most: int = 3) -> DataFrame:
-    """keys, at, value, prominence of each key's peaks, the `most` prominent ones."""
+    """keys, at, value, prominence of each key's peaks, the `most` prominent ones; without any its greatest value, prominence 0."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable").reset_index(drop=True)
         got = sorted(find_peaks(pdf[v].to_numpy(), prominence, distance), key=lambda p: (-p[1], p[0]))[:most]
+        got = got or [(int(pdf[v].to_numpy().argmax()), 0.0)]
         out = pdf.loc[[p for p, _ in got], [*keys, at]].rename(columns={at: "at"})
         return out.assign(value=[float(pdf[v][p]) for p, _ in got], prominence=[q for _, q in got])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.curves import correlation_similarity, cosine, duration_profile
-from lodestar.functions.sequences import combined_similarity
+from lodestar.functions.sequences import combined_similarity, let
 from lodestar.operators.workspace import block_products
 
 #: Weights of the groups of columns that are compared; a group without common columns drops out.
@@ -82,13 +82,17 @@ def structure_similarity(curves: tuple[Column, Column], groups: tuple[Column, Co
     each), correlation of duration profiles; null if nothing is. A correlation is unknown for constant curves, curves
     of different lengths, and curves that are 0 throughout."""
     alive = lambda c: F.coalesce(F.exists(c, lambda v: v != 0), F.lit(False))
-    energy = F.when(alive(curves[0]) & alive(curves[1]), correlation_similarity(*curves))
-    order = with_sequences(F.lit(None).cast("double"), *groups)
-    lengths = correlation_similarity(duration_profile(ratios[0]), duration_profile(ratios[1]))
-    parts = list(zip(STRUCTURE, (energy, order, lengths), strict=True))
-    total = sum((F.when(s.isNotNull(), w).otherwise(0.0) for w, s in parts), F.lit(0.0))
-    blend = sum((F.coalesce(s * w, F.lit(0.0)) for w, s in parts), F.lit(0.0))
-    return F.when(total > 0, clip(blend / total))
+    parts = F.struct(
+        F.when(alive(curves[0]) & alive(curves[1]), correlation_similarity(*curves)).alias("a"), with_sequences(F.lit(None).cast("double"), *groups).alias("b"),
+        correlation_similarity(duration_profile(ratios[0]), duration_profile(ratios[1])).alias("c"),
+    )
+
+    def blend(p: Column) -> Column:
+        known = list(zip(STRUCTURE, (p["a"], p["b"], p["c"]), strict=True))
+        total = sum((F.when(s.isNotNull(), w).otherwise(0.0) for w, s in known), F.lit(0.0))
+        return F.when(total > 0, clip(sum((F.coalesce(s * w, F.lit(0.0)) for w, s in known), F.lit(0.0)) / total))
+
+    return let(parts, blend)
 
 
 def pair_scores(pairs: DataFrame, a: str = "a_", b: str = "b_", embedding: str = "embedding") -> DataFrame:

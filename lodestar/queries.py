@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import activity, retrieval
+from lodestar.plans import activity, catalogue, retrieval
 
-QUERIES = retrieval.QUERIES | activity.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | activity.ORACLE_SQL
+QUERIES = retrieval.QUERIES | activity.QUERIES | catalogue.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | activity.ORACLE_SQL | catalogue.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
