@@ -136,10 +136,10 @@ def _total(pool: DataFrame, part) -> np.ndarray | float:
     sums = lambda b: np.sum([np.frombuffer(r) for r in b.column(0).to_pylist()], axis=0)
     width = pool.rdd.getNumPartitions()
     out = pool.mapInArrow(added(lambda b: part(_unpacked(b)), 0), "sums binary")
-    while width > FAN:  # a task adds up FAN sums or so, so that a few reach the driver whatever the number of tasks
+    while width > 8:  # a task adds up FAN sums or so, so that a few reach the driver whatever the number of tasks
         width = -(-width // FAN)
         out = out.repartition(width).mapInArrow(added(sums, 0), "sums binary")
-    return sum((np.frombuffer(r[0]) for r in out.toLocalIterator()), 0.0)
+    return sum((np.frombuffer(r[0]) for r in out.collect()), 0.0)
 
 
 def _cuts(free: np.ndarray, n_up: int, n_down: int) -> tuple[int, int]:
