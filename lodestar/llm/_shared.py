@@ -74,8 +74,9 @@ def steps() -> Iterator[list[DataFrame]]:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now: it acts on what the driver's JVM has collected."""
-    gc.collect()
+    """Let Spark's cleaner drop the shuffle files of finished steps now: it acts on what the driver's JVM has collected. The
+    driver's Python gives back what it has freed, too."""
+    trim()
     spark._jvm.System.gc()
 
 
@@ -128,7 +129,7 @@ def _lengths(texts: pa.Array) -> np.ndarray:
 
 
 def trim() -> None:
-    """Give back to the system what this worker has freed, as workers are used again by later stages."""
+    """Give back to the system what this process has freed: workers are used again by later stages, and so is the driver."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -55,6 +55,7 @@ def _graph(x: np.ndarray, k: int) -> np.ndarray:
 
 def balanced_partition(x: np.ndarray, graph: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
     """Partition of the graph's nodes: grown from centres, then moves to the partition of most neighbours that has room."""
+    x = x.astype(np.float32)  # half the memory of the driver's largest table, which is rows x cells
     centres = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(8):
         own = np.argmax(x @ centres.T, axis=1)
