@@ -20,8 +20,8 @@ SAMPLE, CELL_SAMPLE, CELL_ROWS, CELLS = 8192, 32, 200, (32, 2048)
 GRAPH, HIDDEN, AIM = 12, 128, 0.94
 #: Candidates and queries that meet in one group, at most or so.
 BLOCK, QUERIES = 2048, 512
-#: Rows classified at a time.
-STRETCH = 512
+#: Rows classified at a time; numbers of a product that the driver holds at a time, or so.
+STRETCH, PRODUCT = 512, 1 << 20
 
 
 @dataclass
@@ -46,32 +46,37 @@ class Router:
 
 def _graph(x: np.ndarray, k: int) -> np.ndarray:
     out, x = [], x.astype(np.float32)
-    for at in range(0, len(x), 128):  # small stretches: the driver's memory is not the executors'
-        s = x[at : at + 128] @ x.T
+    rows = max(16, PRODUCT // len(x))  # small stretches: the driver's memory is not the executors'
+    for at in range(0, len(x), rows):
+        s = x[at : at + rows] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        out.append(np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k].copy())  # a view would keep places of all rows
     return np.concatenate(out)
 
 
 def balanced_partition(x: np.ndarray, graph: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
     """Partition of the graph's nodes: grown from centres, then moves to the partition of most neighbours that has room."""
-    x = x.astype(np.float32)  # half the memory of the driver's largest table, which is rows x cells
+    x = x.astype(np.float32)
     centres = x[rng.choice(len(x), cells, replace=False)]
+    rows = max(16, PRODUCT // cells)  # no table of rows x cells is made, which is 512 MB at the most partitions
     for _ in range(8):
-        own = np.argmax(x @ centres.T, axis=1)
+        own = np.concatenate([np.argmax(x[at : at + rows] @ centres.T, axis=1) for at in range(0, len(x), rows)])
         for c in range(cells):
             if (own == c).any():
                 m = x[own == c].mean(axis=0)
                 centres[c] = m / max(np.linalg.norm(m), 1e-12)
     room = int(np.ceil(1.1 * len(x) / cells))
-    s = x @ centres.T
     label, size = np.full(len(x), -1), np.zeros(cells, int)
-    for i in np.argsort(-s.max(axis=1)):
-        for c in np.argsort(-s[i]):
-            if size[c] < room:
-                label[i] = c
-                size[c] += 1
-                break
+    nearest = np.concatenate([(x[at : at + rows] @ centres.T).max(axis=1) for at in range(0, len(x), rows)])
+    order = np.argsort(-nearest)
+    for at in range(0, len(x), rows):
+        s = x[order[at : at + rows]] @ centres.T
+        for i, near in zip(order[at : at + rows], s, strict=True):
+            for c in np.argsort(-near):
+                if size[c] < room:
+                    label[i] = c
+                    size[c] += 1
+                    break
     for _ in range(6):
         for i in rng.permutation(len(x)):
             votes = np.bincount(label[graph[i]], minlength=cells)
@@ -95,11 +100,15 @@ def fit(x: np.ndarray, cells: int, seed: int = 5) -> Router:
         return Router(*hidden, 1)
     graph = _graph(x, min(GRAPH, len(x) - 1))
     label = balanced_partition(x, graph, cells, rng)
-    soft = np.zeros((len(x), cells), np.float32)
-    soft[np.arange(len(x)), label] = GRAPH / 2
-    for j in range(graph.shape[1]):
-        soft[np.arange(len(x)), label[graph[:, j]]] += 1
-    soft /= soft.sum(axis=1, keepdims=True)
+
+    def soft(rows: np.ndarray) -> np.ndarray:
+        """What the classifier is to say of rows: shares of their own partition and of their neighbours'."""
+        out = np.zeros((len(rows), cells), np.float32)
+        out[np.arange(len(rows)), label[rows]] = GRAPH / 2
+        for j in range(graph.shape[1]):
+            out[np.arange(len(rows)), label[graph[rows, j]]] += 1
+        return out / out.sum(axis=1, keepdims=True)
+
     w = [rng.standard_normal((dim, HIDDEN)) * np.sqrt(2 / dim), hidden[1], rng.standard_normal((HIDDEN, cells)) * np.sqrt(1 / HIDDEN), hidden[3]]
     first, second, t = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
     for _ in range(30):
@@ -107,7 +116,7 @@ def fit(x: np.ndarray, cells: int, seed: int = 5) -> Router:
             h = np.maximum(x[at] @ w[0] + w[1], 0)
             z = h @ w[2] + w[3]
             z = np.exp(z - z.max(axis=1, keepdims=True))
-            g = (z / z.sum(axis=1, keepdims=True) - soft[at]) / len(at)
+            g = (z / z.sum(axis=1, keepdims=True) - soft(at)) / len(at)
             back = (g @ w[2].T) * (h > 0)
             t += 1
             for k, d in enumerate((x[at].T @ back, back.sum(axis=0), h.T @ g, g.sum(axis=0))):
@@ -115,7 +124,6 @@ def fit(x: np.ndarray, cells: int, seed: int = 5) -> Router:
                 second[k] = 0.999 * second[k] + 0.001 * d * d
                 w[k] = w[k] - 3e-3 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     router = Router(*w, cells)
-    del soft
     near, own = _graph(x, min(NEIGHBOURS, len(x) - 1)), router.best(x)
     needed = np.zeros(near.shape, np.int32)  # place of a neighbour's partition among a row's most probable ones
     for at in range(0, len(x), STRETCH):
@@ -187,8 +195,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
 
     sample = some(firsts)
     known = _rows(sample if len(sample) else firsts.orderBy("vec_id").limit(1).toArrow())
-    router = fit(known[np.lexsort(known.T)], cells)
-    del sample, known
+    known = known[np.lexsort(known.T)]
+    del sample
+    sweep(spark)
+    router = fit(known, cells)
+    del known
     sweep(spark)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,6 +191,26 @@ def test_routing_prunes_where_vectors_have_structure(spark):
     assert cells >= 32 and probes <= cells / 4 and np.mean(recall) >= 0.9, (probes, cells, np.mean(recall))
 
 
+def test_router_is_learned_in_bounded_memory():
+    """The driver holds the sample and its lists of neighbours, no table of rows x rows or rows x partitions."""
+    import tracemalloc
+
+    x = np.random.default_rng(6).standard_normal((3000, 8))
+    tracemalloc.start()
+    try:
+        graph = neighbours._graph(x, 12)
+        kept = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        label = neighbours.balanced_partition(np.tile(x, (2, 1)), np.tile(graph, (2, 1)), 1500, np.random.default_rng(6))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    s = x @ x[:50].T
+    s[np.arange(50), np.arange(50)] = -np.inf
+    assert (np.sort(graph[:50]) == np.sort(np.argsort(-s.T)[:, :12])).all() and np.bincount(label).max() <= np.ceil(1.1 * 4)
+    assert kept < 1e6 and peak < 2.5e7, (kept, peak)  # 72 MB and 36 MB or more, if tables stay
+
+
 def test_routing_searches_a_part_of_the_table(spark):
     """On vectors without structure, too, whose recall another test measures."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
